@@ -38,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Ids up to which a list of documents to drop is broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the doc_ids of bad: broadcast behind a check of their number, else a shuffled anti join."""
+    bad = cut(bad)
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti")
+
+
 def text_chunks(batches: Iterator, columns: tuple[str, ...] = ("doc_id", "text"), most: int = CHUNK_CHARS) -> Iterator[list[list]]:
     """Lists of column values, a bounded number of characters at a time (one text at least)."""
     for batch in batches:

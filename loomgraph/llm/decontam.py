@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, without
 from .simhash import shingle_hashes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -133,8 +133,7 @@ def search(docs: DataFrame, held: list[tuple[int, list[int]]], words: int, thres
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item; rows without doc_id are kept."""
-    bad = matches(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without(docs, matches(docs, items).select("doc_id").where("doc_id is not null").distinct())
 
 
 def oracle(words: int = WORDS, threshold: float = THRESHOLD) -> str:

@@ -177,3 +177,11 @@ def identify(docs: DataFrame, taught: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs; the model comes from taught, docs if not given."""
     found = predict(docs, learn(docs if taught is None else taught))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a language: those without a letter (null, empty, digits or marks only) go."""
+    columns = docs.columns
+    model = learn(docs)
+    found = predict(docs, model, tuple(c for c in columns if c != "doc_id"))
+    return found.where("lang_pred <> 'und'" if model["profiles"] else F.col("text").rlike(r"\p{L}")).select(*columns)

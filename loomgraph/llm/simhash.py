@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, forest, text_chunks
+from .common import connected_components, cut, forest, text_chunks, without
 
 #: Fingerprints in a probe group beyond which it is dealt out as pairs of blocks.
 GROUP_ROWS = 16_384
@@ -45,6 +45,16 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> list[int]:
     return [h(line[s:e], seed) for s, e in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
+def content_hashes(text: str | None, least: int = 6) -> list[int]:
+    """XXH64 of each word of at least so many bytes (punctuation at its ends aside) and of each pair of neighbours.
+
+    One changed word changes three of these, and five of the shingles of five words: near copies stay closer.
+    """
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = xxhash.xxh64_intdigest
+    return [h(x.strip(b".,;:!?"), 42) for x in w if len(x) >= least] + [h(a + b" " + b, 42) for a, b in zip(w, w[1:], strict=False)] or [h(x, 42) for x in w]
+
+
 def majority_bits(hashes: list[list[int]]) -> np.ndarray:
     """The fingerprint of each list of hashes as int64: a bit is 1 if it is set in over half of them."""
     out = np.zeros(len(hashes), np.int64)
@@ -60,13 +70,16 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", confirm: int = 0) -> DataFrame:
-    """(doc_id, fp), one row for each row of docs; confirm adds as many further 64-bit words c1, c2, ... of other seeds."""
+    """(doc_id, fp), one row for each row of docs, fp over shingles.
+
+    With confirm, fp is over content words and pairs instead, and c1, c2, ... are as many 64-bit words over shingles.
+    """
     schema = "doc_id long, fp long" + "".join(f", c{i + 1} long" for i in range(confirm))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
             hashes = [shingle_hashes(t, words) for t in texts]
-            cols = [majority_bits(hashes)]
+            cols = [majority_bits([content_hashes(t) for t in texts] if confirm else hashes)]
             for i in range(confirm):  # another mix of the same hashes
                 k = np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x2545F4914F6CDD1D & (1 << 64) - 1 | 1)
                 mixed = []
@@ -155,12 +168,11 @@ def link_groups(distance: int, whole: int | None, confirm: int):
     names = ["fp", *(f"c{i + 1}" for i in range(confirm))]
 
     def linked(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        apart = np.bitwise_count(x[0, i] ^ x[0, j]).astype(np.int16)
-        ok = apart <= distance
-        if confirm:
-            for c in x[1:]:
-                apart += np.bitwise_count(c[i] ^ c[j])
-            ok &= apart <= whole
+        ok = np.bitwise_count(x[0, i] ^ x[0, j]) <= distance
+        if confirm and ok.any():
+            at = np.flatnonzero(ok)
+            apart = sum(np.bitwise_count(c[i[at]] ^ c[j[at]]).astype(np.int16) for c in x[1:])
+            ok[at] = apart <= whole
         return ok
 
     def solve(group: np.ndarray, salts: np.ndarray, x: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +242,10 @@ def link_groups(distance: int, whole: int | None, confirm: int):
 
 
 def near_links(reps: DataFrame, distance: int, whole: int | None = None, confirm: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) between reps (fp, rep, c1..) within distance, as forests that keep every component whole."""
+    """Links (a, b) between reps (fp, rep, c1..) within distance, as forests that keep every component whole.
+
+    With confirm, a link's c1, c2, ... also differ in at most whole bits together.
+    """
     n = reps.count()
     picked = reps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
     sample = np.array([r["fp"] for r in picked], np.int64)
@@ -281,3 +296,19 @@ def components(docs: DataFrame, words: int = 4, distance: int = 4, confirm: int
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = 8, whole: int = 26, words: int = 5) -> DataFrame:
+    """The rows of docs without near copies: of each class, the document of the smallest doc_id.
+
+    Two documents are linked if the fingerprints of their content words and word pairs differ in at most ``distance`` of 64
+    bits, and those of their five-word shingles in at most ``whole`` of 128: a Jaccard similarity of 0.8 is a cosine
+    of 0.89 and differs in 19 of 128 on average, with a deviation of 4. Rows without doc_id are kept, and so is every empty or
+    null text's smallest id alone. Of rows that repeat a doc_id one is kept.
+    """
+    found = cut(components(docs, words, distance, confirm=2, whole=whole))
+    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = without(docs, found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
+    if repeated:
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
