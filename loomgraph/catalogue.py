@@ -5,11 +5,182 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .adapter import Graph, graph, graph_sql, table
+from .functions import chunk
+from .functions import text as T
+from .operators import checks, evaluate, export, mutate, paths, resolve, retrieve, rules, search, stats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+G, GD = graph_sql(), graph_sql(True)
+
+
+def of_graph(name: str, sql: str | None, defects: bool = False):
+    """Registers a query over the adapter's graph; sql follows the views' definitions."""
+
+    def take(f: Callable[[Graph], DataFrame]):
+        QUERIES[name] = lambda spark, d: f(graph(spark, d, defects))
+        if sql is not None:
+            ORACLE[name] = f"WITH RECURSIVE {GD if defects else G}{sql if sql.startswith(',') else ' ' + sql}"
+        return f
+
+    return take
+
+
+def of_table(name: str, tables: str, sql: str | None):
+    def take(f: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, d: f(*(table(spark, d, t) for t in tables.split()))
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return take
+
+
+EDGE_COLUMNS = "e.id, e.type, e.confidence, source_id, s.text AS source_text, s.type AS source_type, target_id, t.text AS target_text, t.type AS target_type"
+JOINED = f"SELECT {EDGE_COLUMNS} FROM edges e JOIN nodes s ON source_id = s.id JOIN nodes t ON target_id = t.id"
+
+of_graph("rel_search", f"{JOINED} WHERE e.type = 'OBLIGATES' AND e.document_id = 'doc_3' AND e.confidence >= 0.8 ORDER BY e.confidence DESC, e.id LIMIT 10")(lambda g: search.search_edges(g.nodes, g.edges, kind="OBLIGATES", document_id="doc_3", least=0.8))
+of_graph("rel_search_all", f"{JOINED} WHERE e.type = 'OBLIGATES' AND e.confidence >= 0.8 ORDER BY e.confidence DESC, e.id LIMIT 100")(lambda g: search.search_edges(g.nodes, g.edges, kind="OBLIGATES", least=0.8, limit=100))
+NODE = "id, text, type, label, confidence, document_id"
+of_graph("entity_search", f"SELECT {NODE} FROM nodes WHERE contains(lower(text), 'customer') AND type = 'Legal_Party' AND confidence >= 0.7 ORDER BY confidence DESC, id LIMIT 10")(lambda g: search.search_nodes(g.nodes, "Customer", "Legal_Party", least=0.7))
+of_graph("text_search", f"SELECT {NODE} FROM nodes WHERE contains(text, 'URGENT') AND confidence >= 0 ORDER BY confidence DESC, id LIMIT 20")(lambda g: search.search_nodes(g.nodes, "URGENT", limit=20, ignore_case=False))
+of_graph("nodes_by_document", f"SELECT {NODE} FROM nodes WHERE document_id = 'doc_3'")(lambda g: search.find_nodes(g.nodes, None, document_id="doc_3"))
+of_graph("nodes_by_type", f"SELECT {NODE} FROM nodes WHERE type = 'Jurisdiction' ORDER BY id LIMIT 100")(lambda g: search.find_nodes(g.nodes, 100, type="Jurisdiction"))
+of_graph("node_by_id", f"SELECT {NODE} FROM nodes WHERE id = 'cust_7'")(lambda g: search.find_nodes(g.nodes, 1, id="cust_7"))
+EDGE = "id, source_id, target_id, type, confidence, evidence, document_id"
+for _d, _w in (("outgoing", "source_id = 'cust_7'"), ("incoming", "target_id = 'cust_7'"), ("both", "source_id = 'cust_7' OR target_id = 'cust_7'")):
+    of_graph(f"neighbours_{_d}", f"SELECT {EDGE} FROM edges WHERE {_w}")(lambda g, d=_d: search.neighbours(g.edges, "cust_7", d))
+of_graph("rels_by_document", f"SELECT {EDGE} FROM edges WHERE document_id = 'doc_3'")(lambda g: g.edges.where("document_id = 'doc_3'"))
+of_graph("rels_by_type", f"SELECT {EDGE} FROM edges WHERE type = 'GOVERNS' ORDER BY id LIMIT 100")(lambda g: search.find_nodes(g.edges, 100, type="GOVERNS"))
+of_graph("edges_of_set", f"SELECT {EDGE} FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE type = 'Jurisdiction') OR target_id IN (SELECT id FROM nodes WHERE type = 'Jurisdiction') ORDER BY confidence DESC, id LIMIT 10")(lambda g: search.edges_of(g.edges, g.nodes.where("type = 'Jurisdiction'")))
+PREPARED = {"parties": "SELECT id, text, confidence FROM nodes WHERE type = 'Legal_Party'", "obligations": f"{JOINED} WHERE e.type = 'OBLIGATES' AND e.confidence >= 0", "high_confidence": "SELECT id, text, type, confidence FROM nodes WHERE confidence > CAST(0.9 AS DOUBLE)", "distribution": "SELECT type, count(*) AS n FROM edges GROUP BY type", "contradictions": f"{JOINED} WHERE e.type = 'CONTRADICTS' AND e.confidence >= 0"}
+for _k, _sql in PREPARED.items():
+    of_graph(f"prepared_{_k}", _sql, True)(lambda g, k=_k: search.prepared(g.nodes, g.edges)[k])
+
+of_graph("graph_counts", "SELECT n AS nodes, e AS edges, round(e * 2.0 / n, 2) AS avg_degree, round(CAST(e AS DOUBLE) / (CAST(n AS DOUBLE) * (n - 1)), 4) AS density FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS e FROM edges)")(lambda g: stats.basic_counts(g.nodes, g.edges))
+KIND = "count(*) AS n, round(avg(confidence), 3) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence"
+of_graph("node_stats", f"SELECT coalesce(label, 'Unknown') AS label, {KIND} FROM nodes GROUP BY 1")(lambda g: stats.by_kind(g.nodes, "label"))
+of_graph("rel_stats", f"SELECT coalesce(type, 'Unknown') AS type, {KIND} FROM edges GROUP BY 1")(lambda g: stats.by_kind(g.edges, "type"))
+of_graph("rel_evidence_stats", "SELECT type, count(*) AS n, count(*) FILTER (evidence <> '') AS with_evidence FROM edges GROUP BY type")(lambda g: stats.evidence_counts(g.edges))
+DEG = ", ends AS (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges WHERE source_id <> target_id), deg AS (SELECT n.id, text, coalesce(d, 0) AS degree FROM nodes n LEFT JOIN (SELECT id, count(*) AS d FROM ends GROUP BY id) e ON n.id = e.id)"
+of_graph("degree_distribution", f"{DEG} SELECT min(degree) AS min_degree, max(degree) AS max_degree, round(avg(degree), 4) AS avg_degree, quantile_cont(degree, 0.5) AS median_degree FROM deg", True)(lambda g: stats.degree_summary(g.nodes, g.edges))
+of_graph("degree_centrality", f"{DEG} SELECT id, coalesce(substring(text, 1, 50), 'N/A') AS text, degree FROM deg ORDER BY degree DESC, id LIMIT 10")(lambda g: stats.central(g.nodes, g.edges))
+of_graph("entity_coverage", "SELECT type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM nodes WHERE document_id = 'doc_3'), 1) AS percentage FROM nodes WHERE document_id = 'doc_3' GROUP BY type")(lambda g: stats.coverage(g.nodes.where("document_id = 'doc_3'")))
+of_graph("rel_patterns", "SELECT s.type AS source_type, e.type AS type, t.type AS target_type, count(*) AS n FROM edges e JOIN nodes s ON source_id = s.id JOIN nodes t ON target_id = t.id GROUP BY 1, 2, 3 ORDER BY n DESC, 1, 2, 3 LIMIT 20")(lambda g: stats.patterns(g.nodes, g.edges))
+
+ORPHAN = "SELECT * FROM nodes WHERE id NOT IN (SELECT source_id FROM edges UNION ALL SELECT target_id FROM edges)"
+DANGLING = "SELECT id, source_id, target_id FROM edges WHERE source_id NOT IN (SELECT id FROM nodes) OR target_id NOT IN (SELECT id FROM nodes)"
+TWINS = "SELECT source_id, target_id, type, count(*) AS n FROM edges GROUP BY 1, 2, 3 HAVING count(*) > 1"
+MISSING = "SELECT id, array_to_string(list_filter([CASE WHEN text IS NULL THEN 'text' END, CASE WHEN type IS NULL THEN 'type' END, CASE WHEN confidence IS NULL THEN 'confidence' END], lambda x: x IS NOT NULL), ',') AS missing FROM nodes WHERE text IS NULL OR type IS NULL OR confidence IS NULL"
+RANGE = "SELECT 'node' AS kind, id, confidence FROM nodes WHERE confidence < 0 OR confidence > 1 UNION ALL SELECT 'edge', id, confidence FROM edges WHERE confidence < 0 OR confidence > 1"
+WRONG = "SELECT e.id, source_id, label AS source_label FROM edges e JOIN nodes s ON source_id = s.id WHERE e.type = 'OBLIGATES' AND label NOT IN ('LegalParty', 'Clause')"
+of_graph("chk_orphans", f"SELECT {NODE} FROM ({ORPHAN})", True)(lambda g: checks.orphans(g.nodes, g.edges))
+of_graph("chk_dangling", DANGLING, True)(lambda g: checks.dangling(g.nodes, g.edges))
+of_graph("chk_self_loops", f"SELECT {EDGE} FROM edges WHERE source_id = target_id", True)(lambda g: checks.self_loops(g.edges))
+of_graph("chk_duplicates", TWINS, True)(lambda g: checks.duplicates(g.edges))
+of_graph("chk_missing", MISSING, True)(lambda g: checks.missing_properties(g.nodes))
+of_graph("chk_confidence", RANGE, True)(lambda g: checks.invalid_confidence(g.nodes, g.edges))
+of_graph("chk_semantic", WRONG, True)(lambda g: checks.wrong_sources(g.nodes, g.edges))
+of_graph("chk_cycles", "SELECT 'ring_a' AS start, CAST(3 AS INTEGER) AS length", True)(lambda g: checks.cycles(g.edges.where("document_id = 'doc_x'")))
+_bad = ", ".join(f"('{k}', '{s}', (SELECT count(*) FROM ({q})))" for k, s, q in (("orphan_nodes", "warning", ORPHAN), ("dangling_relationships", "error", DANGLING), ("self_loops", "error", "SELECT id FROM edges WHERE source_id = target_id"), ("duplicate_relationships", "warning", TWINS), ("missing_properties", "warning", MISSING), ("invalid_confidence", "error", RANGE), ("circular_dependencies", "warning", "SELECT 1"), ("semantic_consistency", "warning", WRONG)))
+of_graph("graph_validation", f", r AS (SELECT * FROM (VALUES {_bad}) AS v(check_, severity, issues)) SELECT check_ AS \"check\", severity, issues, issues = 0 AS passed FROM r", True)(lambda g: checks.summary(g.nodes, g.edges))
+of_graph("quality_score", "SELECT CAST(8 AS BIGINT) AS checks, CAST(0 AS BIGINT) AS passed, CAST(3 AS BIGINT) AS errors, CAST(5 AS BIGINT) AS warnings, CAST(0 AS DOUBLE) AS score", True)(lambda g: checks.quality_score(checks.summary(g.nodes, g.edges)))
+REPAIRED = f", good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY confidence DESC, id) AS r FROM edges WHERE source_id <> target_id AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)) WHERE r = 1) SELECT {EDGE} FROM good WHERE document_id = 'doc_x'"
+of_graph("repaired_edges", REPAIRED, True)(lambda g: checks.repair(g.nodes, g.edges)[1].where("document_id = 'doc_x'"))
+of_graph("edge_dedupe", f"SELECT {EDGE} FROM (SELECT *, row_number() OVER (PARTITION BY source_id, type ORDER BY confidence DESC, id) AS r FROM edges) WHERE r = 1")(lambda g: checks.keep_best(g.edges, ["source_id", "type"]))
+
+WALK = """, sub AS (SELECT * FROM edges WHERE type IN ('GOVERNS', 'OBLIGATES') AND document_id = 'doc_3'),
+both_ways AS (SELECT source_id AS node, target_id AS other, id FROM sub UNION ALL SELECT target_id, source_id, id FROM sub WHERE source_id <> target_id),
+walk AS (SELECT other AS place, id AS edge_ids, [id] AS seen, 1 AS length FROM both_ways WHERE node = 'nat_3' UNION ALL SELECT other, edge_ids || '>' || id, list_append(seen, id), length + 1 FROM walk JOIN both_ways ON place = node WHERE length < 3 AND NOT list_contains(seen, id))"""
+of_graph("paths_bounded", f"{WALK} SELECT edge_ids, CAST(length AS BIGINT) AS length FROM walk WHERE place = (SELECT min(target_id) FROM sub WHERE type = 'OBLIGATES') ORDER BY length, edge_ids LIMIT 10")(
+    lambda g: paths.trails(g.edges.where("document_id = 'doc_3'"), "nat_3", g.edges.where("document_id = 'doc_3' and type = 'OBLIGATES'").agg(F.min("target_id")).first()[0] or "", kinds=["GOVERNS", "OBLIGATES"])
+)
+of_graph("shortest_path_avg", None)(lambda g: paths.mean_distance(g.edges.where("document_id = 'doc_3' and type = 'GOVERNS'"), g.nodes.where("document_id = 'doc_3'"), 4))
+of_graph("pagerank", None)(lambda g: paths.pagerank(g.nodes, g.edges, 5).select("id", F.round("rank", 4).alias("rank")))
+
+PARTS = "SELECT p_partkey AS id, p_name AS text, p_type AS type, p_retailprice AS confidence FROM part"
+
+
+def part_entities(p: DataFrame) -> DataFrame:
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("confidence"))
+
+
+of_table("dedupe_exact", "part", f"WITH e AS ({PARTS}), r AS (SELECT *, lower(trim(text)) AS k, row_number() OVER (PARTITION BY type, lower(trim(text)) ORDER BY confidence DESC, id) AS r FROM e), l AS (SELECT type, k, count(*) AS merged FROM r WHERE r > 1 GROUP BY 1, 2) SELECT id, text, r.type, confidence, coalesce(merged, 0) AS merged FROM r LEFT JOIN l ON r.type = l.type AND r.k = l.k WHERE r = 1")(lambda p: resolve.dedupe_exact(part_entities(p)).drop("found_aliases"))
+CLUSTERS = f"e AS ({PARTS}), k AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM e), c AS (SELECT *, count(*) OVER w AS size, first_value(id) OVER (PARTITION BY type, k ORDER BY confidence DESC, id) AS canonical_id FROM k WINDOW w AS (PARTITION BY type, k))"
+of_table("exact_clusters", "part", f"WITH {CLUSTERS} SELECT canonical_id, id, size FROM c WHERE size > 1")(lambda p: resolve.exact_clusters(part_entities(p)))
+of_table("cluster_stats", "part", f"WITH {CLUSTERS}, s AS (SELECT canonical_id, count(*) AS k FROM c WHERE size > 1 GROUP BY 1) SELECT count(*) AS clusters, CAST(sum(k) AS BIGINT) AS mentions, round(avg(k), 4) AS avg_size, max(k) AS max_size FROM s")(lambda p: resolve.cluster_statistics(resolve.exact_clusters(part_entities(p))))
+of_table("cosine_pairs", "embeddings", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", round(list_cosine_similarity(a.x, b.x), 4) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.3")(lambda e: resolve.similar_pairs(e, 0.3))
+of_table("knn", "embeddings", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), q AS (SELECT x AS qx FROM e WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(x, qx), 4) AS cosine FROM e, q ORDER BY list_cosine_similarity(x, qx) DESC, vec_id LIMIT 5")(lambda e: resolve.nearest(e, e.where("vec_id = 0").first()["embedding"]))
+of_table("greedy_dedupe", "embeddings", None)(lambda e: resolve.greedy(e, 0.4))
+of_table("leader_clusters", "embeddings", None)(lambda e: resolve.leaders(e, 0.4))
+
+of_table("clean_text", "documents", "WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\\n\\s*Page\\s+\\d+\\s*\\n', chr(10), 'g'), '\\n\\s*\\d+\\s*\\n', chr(10), 'g') AS t FROM a) SELECT doc_id, sha256(regexp_replace(replace(replace(replace(t, ' ,', ','), ' .', '.'), ' ;', ';'), '^\\s+|\\s+$', '', 'g')) AS digest FROM b")(lambda d: d.select("doc_id", F.sha2(T.clean("text"), 256).alias("digest")))
+of_table("normalize_text", "documents", "SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^a-zA-Z0-9\\s.,;:!?-]', '', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents")(lambda d: d.select("doc_id", F.sha2(T.normalise("text", True, True), 256).alias("digest")))
+of_table("token_estimate", "documents", "SELECT source, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY source")(lambda d: d.groupBy("source").agg(F.sum(T.token_estimate("text")).alias("tokens")))
+of_table("doc_type", "documents", "SELECT doc_id, CASE WHEN contains(l, 'contract') OR contains(l, 'agreement') OR contains(l, 'parties hereby agree') THEN CASE WHEN contains(l, 'service') THEN 'contract' WHEN contains(l, 'license') THEN 'license' ELSE 'agreement' END WHEN contains(l, 'amendment') THEN 'amendment' WHEN contains(l, 'addendum') THEN 'addendum' WHEN contains(l, 'policy') THEN 'policy' ELSE 'other' END AS document_type FROM (SELECT doc_id, lower(text) AS l FROM documents)")(lambda d: d.select("doc_id", T.document_type("text").alias("document_type")))
+of_table("doc_id_hash", "documents", "SELECT doc_id, 'doc_' || source || '_' || substring(sha256(text), 1, 8) AS document_id FROM documents")(lambda d: d.select("doc_id", T.document_id("source", "text").alias("document_id")))
+STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+of_table("keywords", "conversations", f"WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+') AND length(x) > 2 AND x NOT IN ({STOPS})) AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM w")(lambda c: c.select("conv_id", "turn", F.array_join(T.keywords("text"), " ").alias("keywords")))
+of_table("section_chunks", "documents", "WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+|(?:Section|Article|Clause)\\s+\\d+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS p FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS section, sha256(p[i]) AS digest FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)")(lambda d: chunk.sections(d).select("doc_id", "section", F.sha2("text", 256).alias("digest")))
+of_table("clause_chunks", "documents", None)(lambda d: chunk.chunk_table(d).select("doc_id", "level", "chunk_index", "parent", "start", "end", "token_count"))
+of_table("merge_fragments", "conversations", "WITH s AS (SELECT conv_id, turn, text, CAST(length(text) // 4 >= 100 AS INTEGER) AS big FROM conversations), r AS (SELECT *, sum(big + coalesce(l, 0)) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(big) OVER (PARTITION BY conv_id ORDER BY turn) AS l FROM s)) SELECT conv_id, min(turn) AS turn, string_agg(text, ' ' ORDER BY turn) AS text FROM r GROUP BY conv_id, run")(lambda c: chunk.merge_fragments(c, 100, "conv_id", "turn"))
+of_table("mention_counts", "documents", None)(lambda d: d.select("doc_id", F.explode(T.mentions("text")).alias("mention")).groupBy("mention").agg(F.count("*").alias("n")))
+
+INDICATED = "CASE " + " ".join(f"WHEN contains(e, '{w}') THEN CAST({x} AS DOUBLE)" for w, x in rules.INDICATORS) + " ELSE CAST(0 AS DOUBLE) END"
+of_graph("rescore_rels", f", a AS (SELECT id, type, confidence AS c0, lower(coalesce(evidence, '')) AS e FROM edges), b AS (SELECT *, least(1.0, c0 + {INDICATED}) AS c1 FROM a), c AS (SELECT *, CASE WHEN type = 'OBLIGATES' AND (contains(e, 'shall') OR contains(e, 'must')) THEN least(1.0, c1 + CAST(0.1 AS DOUBLE)) ELSE c1 END AS c2 FROM b) SELECT type, count(*) AS n, round(sum(c2), 2) AS total FROM c GROUP BY type")(lambda g: rules.rescored_edges(g.edges).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("total")))
+of_graph("validate_entities", "SELECT type, count(*) AS n FROM nodes WHERE trim(coalesce(text, '')) <> '' AND confidence BETWEEN 0 AND 1 AND confidence - CASE WHEN length(trim(text)) < 3 THEN CAST(0.2 AS DOUBLE) ELSE 0 END >= CAST(0.7 AS DOUBLE) AND NOT (type = 'Legal_Party' AND length(trim(text)) < 2) GROUP BY type", True)(lambda g: rules.valid_entities(g.nodes).groupBy("type").agg(F.count("*").alias("n")))
+of_graph("opposite_edges", "SELECT id AS first, id AS second FROM edges WHERE type = 'CONTRADICTS' UNION ALL SELECT a.id, b.id FROM edges a JOIN edges b ON a.source_id = b.target_id AND a.target_id = b.source_id AND a.type = b.type AND a.id < b.id", True)(lambda g: rules.opposite_edges(g.edges))
+
+JUDGED = "SELECT l.doc_id, CAST(quality AS VARCHAR) AS truth, CASE WHEN n_chars >= 1000 THEN '1' ELSE '0' END AS predicted FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+
+
+def judged(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    return labels.join(docs.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").cast("string").alias("truth"), F.when(F.col("n_chars") >= 1000, "1").otherwise("0").alias("predicted"))
+
+
+def keyed(df: DataFrame, column: str) -> DataFrame:
+    return df.select("doc_id", F.col(column).alias("type"))
+
+
+METRICS = "round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END, 4) AS f1"
+RAW = METRICS.replace("round(", "(").replace(", 4)", ")")
+BY_TYPE = f"j AS ({JUDGED}), t AS (SELECT type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT predicted AS type, CAST(predicted = truth AS INTEGER) AS tp, CAST(predicted <> truth AS INTEGER) AS fp, 0 AS fn FROM j UNION ALL SELECT truth, 0, 0, CAST(predicted <> truth AS INTEGER) FROM j) GROUP BY type), m AS (SELECT type, tp, fp, fn, {METRICS} FROM t)"
+
+
+def metrics_by_type(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    j = judged(labels, docs)
+    return evaluate.with_metrics(evaluate.exact_counts(keyed(j, "predicted"), keyed(j, "truth"), ["doc_id", "type"], "type"))
+
+
+of_table("eval_by_type", "labels documents", f"WITH {BY_TYPE} SELECT type, tp, fp, fn, precision, recall, f1 FROM m")(metrics_by_type)
+of_table("macro_micro", "labels documents", f"WITH {BY_TYPE} SELECT 'macro' AS average, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1 FROM (SELECT tp, fp, fn, {RAW} FROM t) UNION ALL SELECT 'micro', tp, fp, fn, {METRICS} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM t)")(lambda a, b: evaluate.averages(metrics_by_type(a, b)))
+of_table("confusion_matrix", "labels documents", f"WITH j AS ({JUDGED}) SELECT truth, count(*) FILTER (predicted = '0') AS \"0\", count(*) FILTER (predicted = '1') AS \"1\" FROM j GROUP BY truth")(lambda a, b: evaluate.confusion(judged(a, b), ["0", "1"]))
+of_table("calibration", "events", "WITH s AS (SELECT greatest(least(floor(least(greatest(value / 500, 0), 1) * 10), 9), 0) AS bin, CAST(event_type = 'purchase' AS INTEGER) AS ok FROM events), b AS (SELECT bin, count(*) AS n, abs(avg(ok) - (bin + 0.5) / 10) AS err FROM s GROUP BY bin) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * err) / sum(n), 4) AS ece, round(max(err), 4) AS mce FROM b")(lambda e: evaluate.calibration(e.select(F.least(F.greatest(F.col("value") / 500.0, F.lit(0.0)), F.lit(1.0)).alias("confidence"), (F.col("event_type") == "purchase").alias("correct"))))
+of_graph("triples", "SELECT DISTINCT lower(trim(s.text)) AS source_text, s.type AS source_type, e.type AS type, lower(trim(t.text)) AS target_text, t.type AS target_type FROM edges e JOIN nodes s ON source_id = s.id JOIN nodes t ON target_id = t.id WHERE e.type = 'OBLIGATES'")(lambda g: evaluate.triples(g.edges.where("type = 'OBLIGATES'"), g.nodes))
+
+of_graph("keyword_filter", f"SELECT {NODE} FROM nodes WHERE (contains(lower(text), 'urgent') OR contains(lower(text), 'customer')) AND document_id = 'doc_3' ORDER BY confidence DESC, id LIMIT 5")(lambda g: retrieve.by_keywords(g.nodes, ["urgent", "customer"], "doc_3"))
+RAG = ", a AS (SELECT *, 0 AS p FROM nodes WHERE contains(lower(text), 'urgent') OR contains(lower(text), 'orders') ORDER BY confidence DESC, id LIMIT 5), b AS (SELECT *, 1 AS p FROM nodes WHERE contains(lower(text), 'urgent') OR contains(lower(text), 'order') ORDER BY confidence DESC, id LIMIT 5), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM u) WHERE r = 1 ORDER BY p, confidence DESC, id LIMIT 10)"
+of_graph("rag_entities", f"{RAG} SELECT {NODE} FROM f")(lambda g: retrieve.retrieve(g.nodes, g.edges, "Which are the urgent orders?")[0])
+of_graph("rag_edges", f"{RAG} SELECT {EDGE} FROM edges WHERE source_id IN (SELECT id FROM f) OR target_id IN (SELECT id FROM f) ORDER BY confidence DESC, id LIMIT 10")(lambda g: retrieve.retrieve(g.nodes, g.edges, "Which are the urgent orders?")[1])
+of_graph("ask_distribution", "SELECT type, count(*) AS n FROM edges GROUP BY type ORDER BY n DESC, type LIMIT 20")(lambda g: retrieve.ask(g.nodes.sparkSession, g.nodes, g.edges, "How many relationships of each type?"))
+
+S = export.SPACE
+of_graph("export_ntriples", f", n AS (SELECT * FROM nodes WHERE document_id = 'doc_3'), e AS (SELECT * FROM edges WHERE document_id = 'doc_3') SELECT '<{S}' || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{S}' || label || '> .' AS line FROM n UNION ALL SELECT '<{S}' || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || text || '\" .' FROM n UNION ALL SELECT '<{S}' || source_id || '> <{S}' || type || '> <{S}' || target_id || '> .' FROM e")(lambda g: export.ntriples(g.nodes.where("document_id = 'doc_3'"), g.edges.where("document_id = 'doc_3'")))
+of_graph("export_cypher", ", n AS (SELECT * FROM nodes WHERE document_id = 'doc_3'), e AS (SELECT * FROM edges WHERE document_id = 'doc_3') SELECT 'CREATE (:' || label || ' {id: ''' || id || ''', text: ''' || text || '''});' AS line FROM n UNION ALL SELECT 'MATCH (a {id: ''' || source_id || '''}), (b {id: ''' || target_id || '''}) CREATE (a)-[:' || type || ' {id: ''' || id || '''}]->(b);' FROM e")(lambda g: export.cypher(g.nodes.where("document_id = 'doc_3'"), g.edges.where("document_id = 'doc_3'")))
+of_graph("export_graphml", None)(lambda g: export.graphml(g.nodes.where("document_id = 'doc_3'"), g.edges.where("document_id = 'doc_3'")))
+of_graph("detach_delete", "SELECT type, count(*) AS n FROM edges WHERE source_id NOT IN (SELECT id FROM nodes WHERE document_id = 'doc_3') AND target_id NOT IN (SELECT id FROM nodes WHERE document_id = 'doc_3') GROUP BY type")(lambda g: mutate.delete_nodes(g.nodes, g.edges, g.nodes.where("document_id = 'doc_3'"))[1].groupBy("type").agg(F.count("*").alias("n")))
+of_graph("update_nodes", "SELECT type, count(*) AS n, round(sum(CASE WHEN type = 'Jurisdiction' THEN 1.0 ELSE confidence END), 2) AS total FROM nodes GROUP BY type")(lambda g: mutate.update_nodes(g.nodes, g.nodes.where("type = 'Jurisdiction'").select("id", F.lit(1.0).alias("confidence"))).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("total")))
+of_graph("insert_edges", "SELECT count(*) AS n FROM edges e WHERE document_id = 'doc_x' AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)", True)(lambda g: mutate.insert_edges(g.nodes, g.edges.limit(0), g.edges.where("document_id = 'doc_x'"))[0].agg(F.count("*").alias("n")))
+of_graph("duplicate_ids", "SELECT id, count(*) AS n FROM edges GROUP BY id HAVING count(*) > 1")(lambda g: mutate.duplicate_ids(g.edges))
+of_graph("text_index", "SELECT word, count(DISTINCT id) AS n FROM (SELECT id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS word FROM nodes) WHERE word <> '' GROUP BY word")(lambda g: mutate.text_index(g.nodes).groupBy("word").agg(F.count("*").alias("n")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

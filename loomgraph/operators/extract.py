@@ -1,0 +1,63 @@
+"""Extraction: a plug-in boundary. Rules work offline; a replay reads recorded answers; a live model is a function of a text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import vocab
+from ..functions import text as T
+from .rules import known_types
+
+ENTITY_JSON = "struct<entities:array<struct<text:string,type:string,context:string,confidence:double,attributes:map<string,string>>>>"
+EDGE_JSON = "struct<relationships:array<struct<source_entity_id:string,target_entity_id:string,relationship_type:string,evidence:string,reasoning:string,confidence:double,properties:map<string,string>>>>"
+
+PROVIDERS: dict[str, Callable[[str], str]] = {}
+
+
+def register(name: str, answer: Callable[[str], str]) -> None:
+    """Make a live model known by name; it runs where the chunks are."""
+    PROVIDERS[name] = answer
+
+
+def prompt(template: str, chunk: Column | str, examples: list[str] = ()) -> Column:
+    return F.concat_ws("\n", F.replace(F.lit(template), F.lit("{chunk_text}"), F.col(chunk) if isinstance(chunk, str) else chunk), *map(F.lit, examples))
+
+
+def unfenced(c: Column | str) -> Column:
+    """The JSON of an answer: all of it, or what stands in a fence."""
+    inner = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    return F.when(inner != "", inner).otherwise(c)
+
+
+def answers(c: Column | str, schema: str, field: str) -> Column:
+    item = schema[schema.index(":") + 1 : -1]
+    j = unfenced(c)
+    return F.coalesce(F.from_json(j, schema)[field], F.from_json(j, item), F.array().cast(item))
+
+
+def replay_entities(chunks: DataFrame, response: str = "response") -> DataFrame:
+    """Entities of recorded answers; a missing confidence is 0.5, one out of range drops the row, unknown types are concepts."""
+    rows = chunks.select("id", "document_id", F.posexplode(answers(response, ENTITY_JSON, "entities")).alias("ordinal", "e"))
+    df = rows.select(F.concat_ws("_", F.lit("ent"), "document_id", T.entity_id("document_id", "e.type", "e.text", "id", F.col("ordinal").cast("string"))).alias("id"), "e.text", "e.type", F.coalesce("e.confidence", F.lit(0.5)).alias("confidence"), "e.context", "document_id", F.col("id").alias("chunk_id"), "e.attributes", F.col("ordinal").cast("long").alias("ordinal"))
+    return known_types(df.where("confidence between 0 and 1 and text is not null"), "type", vocab.ENTITY_TYPES, "Legal_Concept")
+
+
+def replay_edges(chunks: DataFrame, entities: DataFrame, response: str = "response") -> DataFrame:
+    """Relationships of recorded answers whose both ends are entities of the chunk."""
+    rows = chunks.select(F.col("id").alias("chunk_id"), "document_id", F.explode(answers(response, EDGE_JSON, "relationships")).alias("r"))
+    df = rows.select("chunk_id", "document_id", F.col("r.source_entity_id").alias("source_id"), F.col("r.target_entity_id").alias("target_id"), F.col("r.relationship_type").alias("type"), F.coalesce("r.confidence", F.lit(0.5)).alias("confidence"), "r.evidence", "r.reasoning", "r.properties")
+    own = lambda c: entities.select("chunk_id", F.col("id").alias(c))
+    df = df.join(own("source_id"), ["chunk_id", "source_id"], "left_semi").join(own("target_id"), ["chunk_id", "target_id"], "left_semi")
+    return known_types(df, "type", vocab.RELATIONSHIP_TYPES, "REFERENCES").where("confidence between 0 and 1")
+
+
+def rule_entities(chunks: DataFrame) -> DataFrame:
+    """Entities by expressions: parties, dates, amounts, clause references, each with its place in the chunk."""
+    kinds = ["Legal_Party", "Temporal_Entity", "Financial_Term", "Clause_Reference"]
+    found = F.concat(*(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), lambda x, k=k: F.struct(x.alias("text"), F.lit(k).alias("type"))) for p, k in zip(T.MENTIONS, kinds, strict=True)))
+    rows = chunks.select("id", "document_id", F.col("text").alias("_chunk"), F.posexplode(found).alias("ordinal", "e"))
+    place = F.position(F.col("e.text"), F.col("_chunk")) - 1
+    return rows.select(F.concat_ws("_", F.lit("ent"), "document_id", T.entity_id("document_id", "e.type", "e.text", "id")).alias("id"), "e.text", "e.type", F.lit(0.75).alias("confidence"), "document_id", F.col("id").alias("chunk_id"), place.alias("start"), F.col("ordinal").cast("long").alias("ordinal"))
