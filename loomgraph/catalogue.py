@@ -123,7 +123,7 @@ of_table("token_estimate", "documents", "SELECT source, CAST(sum(length(text) //
 of_table("doc_type", "documents", "SELECT doc_id, CASE WHEN contains(l, 'contract') OR contains(l, 'agreement') OR contains(l, 'parties hereby agree') THEN CASE WHEN contains(l, 'service') THEN 'contract' WHEN contains(l, 'license') THEN 'license' ELSE 'agreement' END WHEN contains(l, 'amendment') THEN 'amendment' WHEN contains(l, 'addendum') THEN 'addendum' WHEN contains(l, 'policy') THEN 'policy' ELSE 'other' END AS document_type FROM (SELECT doc_id, lower(text) AS l FROM documents)")(lambda d: d.select("doc_id", T.document_type("text").alias("document_type")))
 of_table("doc_id_hash", "documents", "SELECT doc_id, 'doc_' || source || '_' || substring(sha256(text), 1, 8) AS document_id FROM documents")(lambda d: d.select("doc_id", T.document_id("source", "text").alias("document_id")))
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-of_table("keywords", "conversations", f"WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+') AND length(x) > 2 AND x NOT IN ({STOPS})) AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM w")(lambda c: c.select("conv_id", "turn", F.array_join(T.keywords("text"), " ").alias("keywords")))
+of_table("keywords", "conversations", f"WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+') AND length(x) > 2 AND x NOT IN ({STOPS})) AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ' ') AS keywords FROM w")(lambda c: c.select("conv_id", "turn", F.array_join(T.keywords("text"), " ").alias("keywords")))
 of_table("section_chunks", "documents", "WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+|(?:Section|Article|Clause)\\s+\\d+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS p FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS section, sha256(p[i]) AS digest FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)")(lambda d: chunk.sections(d).select("doc_id", "section", F.sha2("text", 256).alias("digest")))
 of_table("clause_chunks", "documents", None)(lambda d: chunk.chunk_table(d).select("doc_id", "level", "chunk_index", "parent", "start", "end", "token_count"))
 of_table("merge_fragments", "conversations", "WITH s AS (SELECT conv_id, turn, text, CAST(length(text) // 4 >= 100 AS INTEGER) AS big FROM conversations), r AS (SELECT *, sum(big + coalesce(l, 0)) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(big) OVER (PARTITION BY conv_id ORDER BY turn) AS l FROM s)) SELECT conv_id, min(turn) AS turn, string_agg(text, ' ' ORDER BY turn) AS text FROM r GROUP BY conv_id, run")(lambda c: chunk.merge_fragments(c, 100, "conv_id", "turn"))
