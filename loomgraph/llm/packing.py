@@ -14,6 +14,7 @@ in their order, a bounded run at a time, without a shuffle; a task that is run a
 
 from __future__ import annotations
 
+import itertools
 import sys
 import types
 import zlib
@@ -34,72 +35,121 @@ SENTENCE_CUT, ANY_CUT = 4, 64
 #: Ids of the run that one programme covers, at least.
 RUN_IDS = 1_500_000
 #: Words whose ids a worker keeps, at most.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 
 
+class Places(dict):
+    """Numbers words as they are first asked for."""
+
+    def __init__(self, new: list[str], count):
+        super().__init__()
+        self.new, self.count = new, count
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        k = self[word] = next(self.count)
+        return k
+
+
 class Words:
     """Ids of texts, through a bounded memory of the ids of white-space-delimited words.
 
-    Byte-level BPE never joins across a single blank or newline, so a text whose white space is all single is the
-    concatenation of its words' ids; other texts go to the tokenizer whole.
+    Byte-level BPE never joins across a single blank or newline: a blank begins the word after it, a newline stands
+    alone. So a text whose white space is all single is the concatenation of its words' ids; others go to the tokenizer
+    whole. New words are encoded together, a newline before each, and parted at the newline's id.
     """
 
+    NEWLINE = 198
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.at: dict[str, int] = {}
+        assert self.tok.encode("\n", add_special_tokens=False).ids == [self.NEWLINE]
         self.clear()
 
     def clear(self) -> None:
-        self.at.clear()
-        self.flat, self.first, self.size, self.stop, self.used = np.empty(1 << 20, np.uint32), np.zeros(KEPT_WORDS + 8, np.int64), np.zeros(KEPT_WORDS + 8, np.int32), np.zeros(KEPT_WORDS + 8, bool), 0
-
-    def learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.at)
-            if k >= len(self.first):
-                self.first, self.size, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.stop))
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[k], self.size[k] = self.used, len(ids)
-            self.stop[k] = word[-1:] in ".!?\n"
-            self.at[word] = k
-            self.used += len(ids)
+        count = itertools.count()
+        self.new = [], [], []
+        # words after a blank, after a newline, and at a text's start
+        self.after = tuple(Places(new, count) for new in self.new)
+        self.flat, self.size, self.stop = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def learn(self) -> None:
+        """Encodes the new words of each form; numbers were given in turn, forms one after another."""
+        parts, sizes, stops, places = [self.flat], [self.size], [self.stop], []
+        for form, new in enumerate(self.new):
+            for f in range(0, len(new), 20_000):
+                words = new[f : f + 20_000]
+                ids = np.array(self.tok.encode("".join(["\n " if form == 0 else "\n"] + [("\n " if form == 0 else "\n").join(words)]), add_special_tokens=False).ids, np.uint32)
+                at = np.flatnonzero(ids == self.NEWLINE)
+                size = np.diff(np.append(at, len(ids)))
+                if form != 1:  # the newline isn't theirs
+                    ids, size = np.delete(ids, at), size - 1
+                parts.append(ids)
+                sizes.append(size.astype(np.int32))
+                stops.append(np.array([w[-1] in ".!?" for w in words]))
+                places += [self.after[form][w] for w in words]
+            new.clear()
+        if not places:
+            return
+        known = len(self.size)
+        order = np.argsort(np.array(places), kind="stable")
+        size, ids = np.concatenate(sizes[1:]), np.concatenate(parts[1:])
+        first = np.cumsum(size) - size
+        size, first = size[order], first[order]
+        ids = ids[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
+        self.flat, self.size, self.stop = np.concatenate([self.flat, ids]), np.concatenate([self.size, size]), np.concatenate([self.stop, np.concatenate(stops[1:])[order]])
+        assert known + len(order) == len(self.size)
+        self.first = np.cumsum(self.size, dtype=np.int64) - self.size
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids a text, True where an id ends a sentence)."""
-        if len(self.at) > KEPT_WORDS or self.used > 4_000_000:
+        if len(self.size) > KEPT_WORDS:
             self.clear()
-        parts: list[list[str]] = []
-        for t in texts:
-            if "  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[-1:] in " \n" or t.translate(ODD) != t:
-                parts.append([t])
-            else:
-                # a blank goes with the word after it, a newline stands alone
-                parts.append([w for k, line in enumerate(t.split("\n")) for w in (["\n"] * (k > 0) + line.replace(" ", "\x00 ").split("\x00"))] if t else [])
-        new = dict.fromkeys(w for p in parts for w in p if w not in self.at)
-        if new:
-            self.learn(list(new))
-        get = self.at.__getitem__
-        k = np.fromiter((get(w) for p in parts for w in p), np.int64, sum(map(len, parts)))
-        size = self.size[k].astype(np.int64)
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.arange(total) + np.repeat(self.first[k] - ends + size, size)]
-        stop = np.zeros(total, bool)
-        stop[ends[self.stop[k] & (size > 0)] - 1] = True
-        words = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        upto = np.concatenate([[0], ends])[words]
-        return flat, np.diff(np.concatenate([[0], upto])), stop
-
-
-#: White space other than blank and newline, removed to see whether a text has any.
-ODD = {c: None for c in range(0x110000) if chr(c).isspace() and c not in (10, 32)} | {c: None for c in (0, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)}
+        split = [t.split() for t in texts]
+        plain = [bool(w) and " ".join(w) == t.replace("\n", " ") for t, w in zip(texts, split, strict=True)]
+        words = list(itertools.chain.from_iterable(w for w, p in zip(split, plain, strict=True) if p))
+        number = np.array([len(w) if p else 0 for w, p in zip(split, plain, strict=True)])
+        if words:
+            k = np.fromiter(map(self.after[0].__getitem__, words), np.int64, len(words))
+            # the white space before each word: a blank, but for a text's first word and after a newline
+            joined = np.frombuffer("\n".join(t for t, p in zip(texts, plain, strict=True) if p).encode("utf-8", "surrogatepass"), np.uint8)
+            before = joined[(joined == 32) | (joined == 10)]
+            starts = (np.cumsum(number) - number)[np.array(plain)]
+            lines = np.setdiff1d(np.flatnonzero(before == 10) + 1, starts, assume_unique=True)
+            for form, at in ((1, lines), (2, starts)):
+                table = self.after[form]
+                k[at] = [table[words[i]] for i in at.tolist()]
+            self.learn()
+            size = self.size[k].astype(np.int64)
+            ends = np.cumsum(size)
+            flat = self.flat[np.arange(int(ends[-1])) + np.repeat(self.first[k] - ends + size, size)]
+            stop = np.zeros(len(flat), bool)
+            stop[ends[self.stop[k]] - 1] = True
+            # a newline ends a sentence too: the id before it
+            stop[ends[lines - 1] - 1] = True
+            upto = np.concatenate([[0], ends])[np.cumsum(number)]
+        else:
+            flat, stop, upto = np.zeros(0, np.uint32), np.zeros(0, bool), np.zeros(len(texts), np.int64)
+        sizes = np.diff(np.concatenate([[0], upto]))
+        odd = [i for i, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
+        if odd:
+            parts, marks = np.split(flat, upto[:-1]), np.split(stop, upto[:-1])
+            for i, e in zip(odd, self.tok.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
+                parts[i] = np.array(e.ids, np.uint32)
+                marks[i] = np.isin(parts[i], self.ends)
+                sizes[i] = len(parts[i])
+            flat, stop = np.concatenate(parts), np.concatenate(marks)
+        return flat, sizes, stop
+
+    @property
+    def ends(self) -> list[int]:
+        """Ids of the marks that end a sentence, for texts that aren't split into words."""
+        return [self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".!?\n"]
 
 
 def kept_words(path: str) -> Words:
@@ -118,7 +168,6 @@ def windows(at: list[int], penalty: list[int], limit: int = LIMIT, last: bool =
     n = len(at)
     best, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(at[0], 0)])  # (best + at, place), rising
-    first_open = n
     for j in range(1, n):
         a = at[j]
         low = a - limit
@@ -135,7 +184,6 @@ def windows(at: list[int], penalty: list[int], limit: int = LIMIT, last: bool =
     if not last:  # the best cut that the open rest can start from
         low = at[-1] - limit
         j = min((k for k in range(n) if at[k] >= low), key=lambda k: best[k])
-    del first_open
     cuts = []
     while j:
         cuts.append(j)
