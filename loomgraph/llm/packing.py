@@ -35,7 +35,7 @@ SENTENCE_CUT, ANY_CUT = 4, 64
 #: Ids of the run that one programme covers, at least.
 RUN_IDS = 1_500_000
 #: Words whose ids a worker keeps, at most.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -84,7 +84,9 @@ class Words:
         for form, new in enumerate(self.new):
             for f in range(0, len(new), 20_000):
                 words = new[f : f + 20_000]
-                ids = np.array(self.tok.encode("".join(["\n " if form == 0 else "\n"] + [("\n " if form == 0 else "\n").join(words)]), add_special_tokens=False).ids, np.uint32)
+                lead = "\n " if form == 0 else "\n"
+                lines = [lead + lead.join(words[i : i + 32]) for i in range(0, len(words), 32)]
+                ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
                 at = np.flatnonzero(ids == self.NEWLINE)
                 size = np.diff(np.append(at, len(ids)))
                 if form != 1:  # the newline isn't theirs
