@@ -35,7 +35,9 @@ def unfenced(c: Column | str) -> Column:
 def answers(c: Column | str, schema: str, field: str) -> Column:
     item = schema[schema.index(":") + 1 : -1]
     j = unfenced(c)
-    return F.coalesce(F.from_json(j, schema)[field], F.from_json(j, item), F.array().cast(item))
+    # a bare list becomes the field of an object, so that one schema reads both
+    whole = F.when(F.ltrim(j).startswith("["), F.concat(F.lit(f'{{"{field}": '), j, F.lit("}"))).otherwise(j)
+    return F.coalesce(F.from_json(whole, schema)[field], F.array().cast(item))
 
 
 def replay_entities(chunks: DataFrame, response: str = "response") -> DataFrame:
@@ -57,7 +59,11 @@ def replay_edges(chunks: DataFrame, entities: DataFrame, response: str = "respon
 def rule_entities(chunks: DataFrame) -> DataFrame:
     """Entities by expressions: parties, dates, amounts, clause references, each with its place in the chunk."""
     kinds = ["Legal_Party", "Temporal_Entity", "Financial_Term", "Clause_Reference"]
-    found = F.concat(*(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), lambda x, k=k: F.struct(x.alias("text"), F.lit(k).alias("type"))) for p, k in zip(T.MENTIONS, kinds, strict=True)))
+
+    def of_kind(pattern: str, kind: str) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda x: F.struct(x.alias("text"), F.lit(kind).alias("type")))
+
+    found = F.concat(*(of_kind(p, k) for p, k in zip(T.MENTIONS, kinds, strict=True)))
     rows = chunks.select("id", "document_id", F.col("text").alias("_chunk"), F.posexplode(found).alias("ordinal", "e"))
     place = F.position(F.col("e.text"), F.col("_chunk")) - 1
     return rows.select(F.concat_ws("_", F.lit("ent"), "document_id", T.entity_id("document_id", "e.type", "e.text", "id")).alias("id"), "e.text", "e.type", F.lit(0.75).alias("confidence"), "document_id", F.col("id").alias("chunk_id"), place.alias("start"), F.col("ordinal").cast("long").alias("ordinal"))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 PRONOUNS = ["it", "he", "she", "they", "we", "you", "i", "him", "her", "them", "us", "me", "its", "his", "hers", "their", "theirs", "our", "ours", "your", "yours", "this", "that", "these", "those"]
 SUFFIX = r" (inc|llc|corp|corporation|ltd|limited|company|co)$"
@@ -115,7 +116,7 @@ def leaders(df: DataFrame, threshold: float = 0.9, key: str = "vec_id", block: s
     return normalised(df).select(key, block, "unit").groupBy(block).applyInPandas(run, f"canonical {kind}, member {kind}")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two texts in lower case."""
     for a, b in batches:

@@ -1,0 +1,154 @@
+"""Golden fixtures of the rules, matchers and chunkers."""
+
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.functions import chunk
+from loomgraph.functions import text as T
+from loomgraph.operators import evaluate, extract, mutate, paths, resolve, retrieve, rules
+from loomgraph.plans import pipeline
+from loomgraph.sources import files
+from loomgraph.streaming import ingest
+
+ENT = "id string, text string, type string, confidence double"
+
+
+def one(spark, text, column):
+    return spark.createDataFrame([(text,)], "t string").select(column).first()[0]
+
+
+def test_clean(spark):
+    assert one(spark, "A  b ,c\n\n\n\nPage text\nPage 3\nnext\n1\n2\nend .\n", T.clean("t")) == "A b,c\n\nPage text\nnext\n2\nend."
+
+
+def test_mentions(spark):
+    got = one(spark, "This Agreement is by and between TechCorp Inc., a Delaware corporation, and DataSystems LLC. Fee of $50,000 is due January 15, 2024 under Section 5.1.", T.mentions("t"))
+    assert {"January 15, 2024", "$50,000", "Section 5.1"} <= set(got) and any("DataSystems LLC" in m for m in got)
+
+
+def test_clauses():
+    assert chunk.clauses("aaaaaaaa\nbbbb\ncccccccc\ndddd", 4, 1) == ["aaaaaaaa\nbbbb", "bbbb\ncccccccc\ndddd"]
+
+
+def test_sections(spark):
+    d = spark.createDataFrame([(1, "Intro line.\n\nSection 1 Grant of License\nLicensor grants.\nMore text.\n\nSection 2: Payment\nPay $5.")], "doc_id long, text string")
+    assert [r["text"] for r in chunk.sections(d).orderBy("section").collect()] == ["Intro line.", "Grant of License\nLicensor grants.\nMore text.", ": Payment\nPay $5."]
+    levels = [r["level"] for r in chunk.chunk_table(d).orderBy("chunk_index").collect()]
+    assert levels == sorted(levels) and set(levels) == {0, 1, 2}
+
+
+@pytest.mark.parametrize(("kind", "text", "before", "after"), [("Legal_Party", "TechCorp Inc.", 0.95, 1.0), ("Clause_Reference", "Section 4.2", 0.6, 0.8), ("Financial_Term", "$5", 0.7, 0.65)])
+def test_rescored(spark, kind, text, before, after):
+    df = spark.createDataFrame([("e", text, kind, before)], ENT)
+    assert rules.rescored_entities(df).first()["confidence"] == pytest.approx(after)
+
+
+@pytest.mark.parametrize(("kind", "text", "c", "ok"), [("Temporal_Entity", "October", 0.75, True), ("Temporal_Entity", "stop", 0.75, True), ("Temporal_Entity", "xyz", 0.75, False), ("Temporal_Entity", "xyz", 0.85, True), ("Legal_Party", "It", 0.9, False), ("Obligation", "x" * 1001, 0.9, False), ("Obligation", " ", 0.9, False)])
+def test_faults(spark, kind, text, c, ok):
+    df = spark.createDataFrame([("e", text, kind, c)], ENT)
+    assert (df.select(rules.entity_fault(F.col("text"), F.col("type"), F.col("confidence"))).first()[0] is None) == ok
+
+
+@pytest.mark.parametrize(("kind", "evidence", "before", "after"), [("OBLIGATES", "Seller shall pay", 0.6, 0.8), ("GRANTS_RIGHT", "hereby grants", 0.7, 0.95)])
+def test_rescored_edges(spark, kind, evidence, before, after):
+    df = spark.createDataFrame([("a", "b", kind, before, evidence)], "source_id string, target_id string, type string, confidence double, evidence string")
+    assert rules.rescored_edges(df).first()["confidence"] == pytest.approx(after)
+
+
+PRED = [("pred_1", "TechCorp Inc.", "Legal_Party", 0.95, 10, 23), ("pred_2", "Payment of $10,000", "Financial_Term", 0.88, 50, 68), ("pred_3", "Confidentiality", "Obligation", 0.92, 100, 115), ("pred_4", "California", "Jurisdiction", 0.97, 200, 210), ("pred_5", "Nonexistent Party", "Legal_Party", 0.70, 300, 317)]
+GOLD = [("gt_1", "TechCorp Inc.", "Legal_Party", 1.0, 10, 23), ("gt_2", "Payment of $10,000", "Financial_Term", 1.0, 50, 68), ("gt_3", "Confidentiality", "Obligation", 1.0, 100, 115), ("gt_4", "California", "Jurisdiction", 1.0, 200, 210), ("gt_5", "30 days", "Temporal_Entity", 1.0, 250, 257)]
+
+
+def test_evaluation(spark):
+    schema = "id string, text string, type string, confidence double, start int, end int, ordinal long"
+    p, g = (spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], schema) for rows in (PRED, GOLD))
+    key = lambda df: df.withColumn("k", F.lower(F.trim("text")))
+    m = evaluate.with_metrics(evaluate.exact_counts(key(p), key(g), ["k", "type"])).first()
+    assert (m["tp"], m["fp"], m["fn"], m["f1"]) == (4, 1, 1, 0.8)
+    by = evaluate.exact_counts(key(p), key(g), ["k", "type"], "type")
+    macro = {r["average"]: r for r in evaluate.averages(by).collect()}
+    assert (macro["macro"]["precision"], macro["macro"]["recall"], macro["macro"]["f1"]) == (0.7, 0.8, 0.7333)
+    cal = evaluate.calibration(p.where("id <> 'pred_5'").withColumn("correct", F.lit(True))).first()
+    assert (cal["ece"], cal["mce"]) == (0.075, 0.15)
+    assert evaluate.calibration(p.limit(0).withColumn("correct", F.lit(True))).first()["ece"] == 0.0
+    assert evaluate.best_overlaps(p, g).count() == 4 and evaluate.best_fuzzy(p, g).count() == 4
+    rel = "source_id string, target_id string, type string"
+    pe = spark.createDataFrame([("pred_1", "pred_2", "OBLIGATES"), ("pred_1", "pred_3", "OBLIGATES"), ("pred_4", "pred_1", "GOVERNS"), ("pred_5", "pred_2", "REFERENCES")], rel)
+    ge = spark.createDataFrame([("gt_1", "gt_2", "OBLIGATES"), ("gt_1", "gt_3", "OBLIGATES"), ("gt_4", "gt_1", "GOVERNS"), ("gt_2", "gt_5", "TEMPORALLY_PRECEDES")], rel)
+    pt, gt = evaluate.triples(pe, p), evaluate.triples(ge, g)
+    assert (pt.intersect(gt).count(), pt.subtract(gt).count(), gt.subtract(pt).count()) == (3, 1, 1)
+
+
+def test_overlap_and_fuzzy(spark):
+    s = "id string, start int, end int, ordinal long"
+    p = spark.createDataFrame([("p", 0, 10, 0)], s)
+    assert evaluate.best_overlaps(p, spark.createDataFrame([("g", 5, 15, 0)], s), 0.3).first()["score"] == 0.3333
+    assert evaluate.best_overlaps(p, spark.createDataFrame([("g", 10, 20, 0)], s), 0.0).count() == 0
+    t = spark.createDataFrame([("tide", "diet"), ("diet", "tide")], "a string, b string")
+    assert [r[0] for r in t.select(resolve.ratio("a", "b")).collect()] == [0.25, 0.5]
+
+
+def test_dedupe(spark):
+    df = spark.createDataFrame([("1", "ABC", "T", 0.8), ("2", "abc ", "T", 0.9), ("3", "ABC", "T", 0.7)], ENT)
+    r = resolve.dedupe_exact(df).collect()
+    assert [(x["id"], x["found_aliases"], x["merged"]) for x in r] == [("2", ["ABC"], 2)]
+
+
+def test_coreference(spark):
+    e = spark.createDataFrame([("e1", "TechCorp Inc.", "Legal_Party", "TechCorp Inc. (the 'Licensor') agrees", 0), ("e2", "Acme LLC", "Legal_Party", None, 1)], "id string, text string, type string, context string, ordinal long")
+    m = spark.createDataFrame([("the Licensor",), ("It",), ("acme llc",), ("Acme",), ("nobody",)], "mention string")
+    got = {r["mention"]: r["canonical_id"] for r in resolve.resolve(m, e, resolve.party_aliases(e)).collect()}
+    assert got == {"the Licensor": "e1", "It": None, "acme llc": "e2", "Acme": "e2", "nobody": None}
+
+
+def test_replay(spark):
+    answer = '```json\n{"entities": [{"text": "Acme Inc.", "type": "Legal_Party", "confidence": 0.9}, {"text": "x", "type": "Odd", "confidence": 1.2}, {"text": "thing", "type": "Odd"}]}\n```'
+    bare = '[{"text": "bare", "type": "Right", "confidence": 0.8}]'
+    c = spark.createDataFrame([("c1", "d1", "text", answer), ("c2", "d1", "text", bare), ("c3", "d1", "text", "no json")], "id string, document_id string, text string, response string")
+    got = {r["text"]: (r["type"], r["confidence"]) for r in extract.replay_entities(c).collect()}
+    assert got == {"Acme Inc.": ("Legal_Party", 0.9), "thing": ("Legal_Concept", 0.5), "bare": ("Right", 0.8)}
+    g = pipeline.extract_graph(c, "response")
+    assert {r["text"] for r in g.entities.collect()} == {"Acme Inc.", "bare"} and g.edges.count() == 0 and g.rejected.count() == 1
+
+
+def test_paths(spark):
+    e = spark.createDataFrame([("e1", "a", "b", "T"), ("e2", "b", "c", "T"), ("e3", "a", "c", "U")], "id string, source_id string, target_id string, type string")
+    assert [r["edge_ids"] for r in paths.trails(e, "a", "c").collect()] == ["e3", "e1>e2"]
+    n = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert paths.mean_distance(e, n).first()["avg_distance"] == 1.0
+    assert paths.pagerank(n, e, 3).count() == 3
+
+
+def test_mutations(spark):
+    n = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    new, rejected = mutate.insert_nodes(n, spark.createDataFrame([("b", "z"), ("c", "z")], "id string, text string"))
+    assert new.count() == 3 and rejected.count() == 1
+    assert mutate.update_nodes(n, spark.createDataFrame([("a", "q")], "id string, text string")).where("text = 'q'").count() == 1
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("Caf\xe9 contract".encode("latin-1"))
+    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Two policy</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "c.xyz").write_text("?")
+    docs, rejects = files.read_documents(spark, str(tmp_path))
+    assert {r["content"]: r["document_type"] for r in docs.collect()} == {"Café contract": "agreement", "One\n\nTwo policy": "policy"}
+    assert rejects.count() == 1
+
+
+def test_stream(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    spark.createDataFrame([("c1", "d1", "Pay $5,000 to Acme Holdings Inc. x")], "id string, document_id string, text string").write.parquet(str(src))
+    stream = spark.readStream.schema("id string, document_id string, text string").parquet(str(src))
+    ingest.write_once(ingest.mentions_stream(stream), str(out), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(out)).where("type = 'Financial_Term'").count() == 1
+
+
+def test_questions(spark):
+    n = spark.createDataFrame([("a", "Acme", "Legal_Party", 0.9)], ENT)
+    e = spark.createDataFrame([("e", "a", "a", "OBLIGATES", 0.9)], "id string, source_id string, target_id string, type string, confidence double")
+    assert retrieve.ask(spark, n, e, "Who are the parties?").count() == 1
+    assert retrieve.validate(spark, "DROP TABLE x")[0] is False
+    assert retrieve.sanitise("```sql\nSELECT 1\n```") == "SELECT 1 LIMIT 20"
