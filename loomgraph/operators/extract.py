@@ -28,6 +28,7 @@ def prompt(template: str, chunk: Column | str, examples: list[str] = ()) -> Colu
 
 def unfenced(c: Column | str) -> Column:
     """The JSON of an answer: all of it, or what stands in a fence."""
+    c = F.col(c) if isinstance(c, str) else c
     inner = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     return F.when(inner != "", inner).otherwise(c)
 
