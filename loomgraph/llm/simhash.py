@@ -165,15 +165,20 @@ def probe_masks(parts: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits. As unsigned: of a negative number the bits of its absolute value would be counted."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64))
+
+
 def link_groups(distance: int, whole: int | None, confirm: int):
     """Arrow function over rows sorted by group: the star forest of the links inside each group."""
     names = ["fp", *(f"c{i + 1}" for i in range(confirm))]
 
     def linked(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(x[0, i] ^ x[0, j]) <= distance
+        ok = differing(x[0, i], x[0, j]) <= distance
         if confirm and ok.any():
             at = np.flatnonzero(ok)
-            apart = sum(np.bitwise_count(c[i[at]] ^ c[j[at]]).astype(np.int16) for c in x[1:])
+            apart = sum(differing(c[i[at]], c[j[at]]).astype(np.int16) for c in x[1:])
             ok[at] = apart <= whole
         return ok
 
@@ -211,7 +216,7 @@ def link_groups(distance: int, whole: int | None, confirm: int):
             block = max(1, 1_000_000 // len(right))
             for f in range(0, len(left), block):
                 part = left[f : f + block]
-                i, j = np.nonzero(np.bitwise_count(x[0, part][:, None] ^ x[0, right][None]) <= distance)
+                i, j = np.nonzero(differing(x[0, part][:, None], x[0, right][None]) <= distance)
                 i, j = part[i], right[j]
                 if lo[0] == hi[0]:
                     i, j = i[j > i], j[j > i]

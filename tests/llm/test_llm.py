@@ -178,7 +178,7 @@ def test_simhash(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fp = simhash.majority_bits([simhash.shingle_hashes(t, 4) for t in texts])
     for distance, group in ((4, 16_384), (12, 16_384), (12, 4)):
-        near = np.bitwise_count(fp[:, None] ^ fp[None]) <= distance
+        near = np.array([[((int(a) ^ int(b)) & (1 << 64) - 1).bit_count() <= distance for b in fp] for a in fp])
         label = np.arange(len(fp))
         for _ in range(len(fp)):
             label = np.array([label[near[i]].min() for i in range(len(fp))])
@@ -188,6 +188,25 @@ def test_simhash(spark):
     assert simhash.shingle_hashes("Ab c", 4) == [__import__("xxhash").xxh64_intdigest(b"ab c", 42)]
 
 
+@pytest.mark.parametrize("group", [16_384, 4])
+@pytest.mark.parametrize("copies", [1, 30])
+def test_links_across_the_sign_bit(spark, group, copies):
+    """Fingerprints are signed longs: pairs that differ in bit 63 count like any other, in small and in large groups."""
+    rng = random.Random(5)
+    bits = set()
+    for _ in range(copies):
+        base = rng.getrandbits(64)
+        bits |= {base, base ^ 1 << 63, base ^ 1 << 63 ^ 0b111, base ^ 0b11111, base ^ 1 << 63 ^ 0b1111 << 20}
+    fps = sorted(bits)
+    rows = [(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)]
+    label = list(range(len(fps)))
+    for _ in fps:
+        label = [min(label[j] for j, b in enumerate(fps) if (a ^ b).bit_count() <= 4) for a in fps]
+    links = simhash.near_links(spark.createDataFrame(rows, "fp long, rep long"), 4, group_rows=group)
+    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert [got.get(k, k) for k in range(len(fps))] == label
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
