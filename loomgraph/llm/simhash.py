@@ -74,7 +74,8 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", confirm: int = 0) -> DataFrame:
     """(doc_id, fp), one row for each row of docs, fp over shingles.
 
-    With confirm, fp is over content words and pairs instead, and c1, c2, ... are as many 64-bit words over shingles.
+    With confirm, fp is over content words and pairs instead, and c1, c2, ... are as many 64-bit words over distinct
+    shingles, so that a line repeated many times doesn't outweigh the rest of a text.
     """
     schema = "doc_id long, fp long" + "".join(f", c{i + 1} long" for i in range(confirm))
 
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
                 k = np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x2545F4914F6CDD1D & (1 << 64) - 1 | 1)
                 mixed = []
                 for h in hashes:
-                    x = np.array(h, np.uint64) * k
+                    x = np.unique(np.array(h, np.uint64)) * k
                     x ^= x >> np.uint64(31)
                     mixed.append((x * np.uint64(0xBF58476D1CE4E5B9)).tolist())
                 cols.append(majority_bits(mixed))
