@@ -77,6 +77,7 @@ TWINS = "SELECT source_id, target_id, type, count(*) AS n FROM edges GROUP BY 1,
 MISSING = "SELECT id, array_to_string(list_filter([CASE WHEN text IS NULL THEN 'text' END, CASE WHEN type IS NULL THEN 'type' END, CASE WHEN confidence IS NULL THEN 'confidence' END], lambda x: x IS NOT NULL), ',') AS missing FROM nodes WHERE text IS NULL OR type IS NULL OR confidence IS NULL"
 RANGE = "SELECT 'node' AS kind, id, confidence FROM nodes WHERE confidence < 0 OR confidence > 1 UNION ALL SELECT 'edge', id, confidence FROM edges WHERE confidence < 0 OR confidence > 1"
 WRONG = "SELECT e.id, source_id, label AS source_label FROM edges e JOIN nodes s ON source_id = s.id WHERE e.type = 'OBLIGATES' AND label NOT IN ('LegalParty', 'Clause')"
+RINGS = ", deps AS (SELECT DISTINCT source_id AS s, target_id AS t FROM edges WHERE type = 'DEPENDS_ON'), ring AS (SELECT s AS start, t AS at_, [s, t] AS seen, 1 AS length FROM deps WHERE t >= s UNION ALL SELECT start, t, list_append(seen, t), length + 1 FROM ring JOIN deps ON at_ = s WHERE at_ <> start AND length < 20 AND (t = start OR (t > start AND NOT list_contains(seen, t))))"
 of_graph("chk_orphans", f"SELECT {NODE} FROM ({ORPHAN})", True)(lambda g: checks.orphans(g.nodes, g.edges))
 of_graph("chk_dangling", DANGLING, True)(lambda g: checks.dangling(g.nodes, g.edges))
 of_graph("chk_self_loops", f"SELECT {EDGE} FROM edges WHERE source_id = target_id", True)(lambda g: checks.self_loops(g.edges))
@@ -84,19 +85,20 @@ of_graph("chk_duplicates", TWINS, True)(lambda g: checks.duplicates(g.edges))
 of_graph("chk_missing", MISSING, True)(lambda g: checks.missing_properties(g.nodes))
 of_graph("chk_confidence", RANGE, True)(lambda g: checks.invalid_confidence(g.nodes, g.edges))
 of_graph("chk_semantic", WRONG, True)(lambda g: checks.wrong_sources(g.nodes, g.edges))
-of_graph("chk_cycles", "SELECT 'ring_a' AS start, CAST(3 AS INTEGER) AS length", True)(lambda g: checks.cycles(g.edges.where("document_id = 'doc_x'")))
-_bad = ", ".join(f"('{k}', '{s}', (SELECT count(*) FROM ({q})))" for k, s, q in (("orphan_nodes", "warning", ORPHAN), ("dangling_relationships", "error", DANGLING), ("self_loops", "error", "SELECT id FROM edges WHERE source_id = target_id"), ("duplicate_relationships", "warning", TWINS), ("missing_properties", "warning", MISSING), ("invalid_confidence", "error", RANGE), ("circular_dependencies", "warning", "SELECT 1"), ("semantic_consistency", "warning", WRONG)))
-of_graph("graph_validation", f", r AS (SELECT * FROM (VALUES {_bad}) AS v(check_, severity, issues)) SELECT check_ AS \"check\", severity, issues, issues = 0 AS passed FROM r", True)(lambda g: checks.summary(g.nodes, g.edges))
-of_graph("quality_score", "SELECT CAST(8 AS BIGINT) AS checks, CAST(0 AS BIGINT) AS passed, CAST(3 AS BIGINT) AS errors, CAST(5 AS BIGINT) AS warnings, CAST(0 AS DOUBLE) AS score", True)(lambda g: checks.quality_score(checks.summary(g.nodes, g.edges)))
-REPAIRED = f", good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY confidence DESC, id) AS r FROM edges WHERE source_id <> target_id AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)) WHERE r = 1) SELECT {EDGE} FROM good WHERE document_id = 'doc_x'"
-of_graph("repaired_edges", REPAIRED, True)(lambda g: checks.repair(g.nodes, g.edges)[1].where("document_id = 'doc_x'"))
+of_graph("chk_cycles", f"{RINGS} SELECT start, CAST(length AS INTEGER) AS length FROM ring WHERE at_ = start", True)(lambda g: checks.cycles(g.edges))
+_bad = ", ".join(f"('{k}', '{s}', (SELECT count(*) FROM ({q})))" for k, s, q in (("orphan_nodes", "warning", ORPHAN), ("dangling_relationships", "error", DANGLING), ("self_loops", "error", "SELECT id FROM edges WHERE source_id = target_id"), ("duplicate_relationships", "warning", TWINS), ("missing_properties", "warning", MISSING), ("invalid_confidence", "error", RANGE), ("circular_dependencies", "warning", "SELECT start FROM ring WHERE at_ = start"), ("semantic_consistency", "warning", WRONG)))
+REPORT = f"{RINGS}, r AS (SELECT *, issues = 0 AS passed FROM (VALUES {_bad}) AS v(check_, severity, issues))"
+of_graph("graph_validation", f"{REPORT} SELECT check_ AS \"check\", severity, issues, passed FROM r", True)(lambda g: checks.summary(g.nodes, g.edges))
+of_graph("quality_score", f"{REPORT}, q AS (SELECT count(*) AS checks, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed AND severity = 'error') AS errors, count(*) FILTER (NOT passed AND severity = 'warning') AS warnings FROM r) SELECT *, round(greatest(CAST(0 AS DOUBLE), passed / checks - least(CAST(0.5 AS DOUBLE), errors * CAST(0.1 AS DOUBLE) + warnings * CAST(0.05 AS DOUBLE))), 4) AS score FROM q", True)(lambda g: checks.quality_score(checks.summary(g.nodes, g.edges)))
+REPAIRED = f", good AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type ORDER BY confidence DESC, id) AS r FROM edges WHERE source_id <> target_id AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)) WHERE r = 1) SELECT {EDGE} FROM good"
+of_graph("repaired_edges", REPAIRED, True)(lambda g: checks.repair(g.nodes, g.edges)[1])
 of_graph("edge_dedupe", f"SELECT {EDGE} FROM (SELECT *, row_number() OVER (PARTITION BY source_id, type ORDER BY confidence DESC, id) AS r FROM edges) WHERE r = 1")(lambda g: checks.keep_best(g.edges, ["source_id", "type"]))
 
-WALK = """, sub AS (SELECT * FROM edges WHERE type IN ('GOVERNS', 'OBLIGATES') AND document_id = 'doc_3'),
+WALK = """, sub AS (SELECT * FROM edges WHERE type IN ('GOVERNS', 'OBLIGATES')),
 both_ways AS (SELECT source_id AS node, target_id AS other, id FROM sub UNION ALL SELECT target_id, source_id, id FROM sub WHERE source_id <> target_id),
 walk AS (SELECT other AS place, id AS edge_ids, [id] AS seen, 1 AS length FROM both_ways WHERE node = 'nat_3' UNION ALL SELECT other, edge_ids || '>' || id, list_append(seen, id), length + 1 FROM walk JOIN both_ways ON place = node WHERE length < 3 AND NOT list_contains(seen, id))"""
-of_graph("paths_bounded", f"{WALK} SELECT edge_ids, CAST(length AS BIGINT) AS length FROM walk WHERE place = (SELECT min(target_id) FROM sub WHERE type = 'OBLIGATES') ORDER BY length, edge_ids LIMIT 10")(
-    lambda g: paths.trails(g.edges.where("document_id = 'doc_3'"), "nat_3", g.edges.where("document_id = 'doc_3' and type = 'OBLIGATES'").agg(F.min("target_id")).first()[0] or "", kinds=["GOVERNS", "OBLIGATES"])
+of_graph("paths_bounded", f"{WALK} SELECT edge_ids, CAST(length AS BIGINT) AS length FROM walk WHERE place = (SELECT min(target_id) FROM sub WHERE type = 'OBLIGATES' AND document_id = 'doc_3') ORDER BY length, edge_ids LIMIT 10")(
+    lambda g: paths.trails(g.edges, "nat_3", g.edges.where("document_id = 'doc_3' and type = 'OBLIGATES'").agg(F.min("target_id")).first()[0] or "", kinds=["GOVERNS", "OBLIGATES"])
 )
 of_graph("shortest_path_avg", None)(lambda g: paths.mean_distance(g.edges.where("document_id = 'doc_3' and type = 'GOVERNS'"), g.nodes.where("document_id = 'doc_3'"), 4))
 of_graph("pagerank", None)(lambda g: paths.pagerank(g.nodes, g.edges, 5).select("id", F.round("rank", 4).alias("rank")))
@@ -159,7 +161,7 @@ of_table("eval_by_type", "labels documents", f"WITH {BY_TYPE} SELECT type, tp, f
 of_table("macro_micro", "labels documents", f"WITH {BY_TYPE} SELECT 'macro' AS average, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1 FROM (SELECT tp, fp, fn, {RAW} FROM t) UNION ALL SELECT 'micro', tp, fp, fn, {METRICS} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM t)")(lambda a, b: evaluate.averages(metrics_by_type(a, b)))
 of_table("confusion_matrix", "labels documents", f"WITH j AS ({JUDGED}) SELECT truth, count(*) FILTER (predicted = '0') AS \"0\", count(*) FILTER (predicted = '1') AS \"1\" FROM j GROUP BY truth")(lambda a, b: evaluate.confusion(judged(a, b), ["0", "1"]))
 of_table("calibration", "events", "WITH s AS (SELECT greatest(least(floor(least(greatest(value / 500, 0), 1) * 10), 9), 0) AS bin, CAST(event_type = 'purchase' AS INTEGER) AS ok FROM events), b AS (SELECT bin, count(*) AS n, abs(avg(ok) - (bin + 0.5) / 10) AS err FROM s GROUP BY bin) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * err) / sum(n), 4) AS ece, round(max(err), 4) AS mce FROM b")(lambda e: evaluate.calibration(e.select(F.least(F.greatest(F.col("value") / 500.0, F.lit(0.0)), F.lit(1.0)).alias("confidence"), (F.col("event_type") == "purchase").alias("correct"))))
-of_graph("triples", "SELECT DISTINCT lower(trim(s.text)) AS source_text, s.type AS source_type, e.type AS type, lower(trim(t.text)) AS target_text, t.type AS target_type FROM edges e JOIN nodes s ON source_id = s.id JOIN nodes t ON target_id = t.id WHERE e.type = 'OBLIGATES'")(lambda g: evaluate.triples(g.edges.where("type = 'OBLIGATES'"), g.nodes))
+of_graph("triples", "SELECT DISTINCT lower(trim(s.text)) AS source_text, s.type AS source_type, e.type AS type, lower(trim(t.text)) AS target_text, t.type AS target_type FROM edges e JOIN nodes s ON source_id = s.id JOIN nodes t ON target_id = t.id")(lambda g: evaluate.triples(g.edges, g.nodes))
 
 of_graph("keyword_filter", f"SELECT {NODE} FROM nodes WHERE (contains(lower(text), 'urgent') OR contains(lower(text), 'customer')) AND document_id = 'doc_3' ORDER BY confidence DESC, id LIMIT 5")(lambda g: retrieve.by_keywords(g.nodes, ["urgent", "customer"], "doc_3"))
 RAG = ", a AS (SELECT *, 0 AS p FROM nodes WHERE contains(lower(text), 'urgent') OR contains(lower(text), 'orders') ORDER BY confidence DESC, id LIMIT 5), b AS (SELECT *, 1 AS p FROM nodes WHERE contains(lower(text), 'urgent') OR contains(lower(text), 'order') ORDER BY confidence DESC, id LIMIT 5), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM u) WHERE r = 1 ORDER BY p, confidence DESC, id LIMIT 10)"
@@ -168,12 +170,12 @@ of_graph("rag_edges", f"{RAG} SELECT {EDGE} FROM edges WHERE source_id IN (SELEC
 of_graph("ask_distribution", "SELECT type, count(*) AS n FROM edges GROUP BY type ORDER BY n DESC, type LIMIT 20")(lambda g: retrieve.ask(g.nodes.sparkSession, g.nodes, g.edges, "How many relationships of each type?"))
 
 S = export.SPACE
-of_graph("export_ntriples", f", n AS (SELECT * FROM nodes WHERE document_id = 'doc_3'), e AS (SELECT * FROM edges WHERE document_id = 'doc_3') SELECT '<{S}' || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{S}' || label || '> .' AS line FROM n UNION ALL SELECT '<{S}' || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || text || '\" .' FROM n UNION ALL SELECT '<{S}' || source_id || '> <{S}' || type || '> <{S}' || target_id || '> .' FROM e")(lambda g: export.ntriples(g.nodes.where("document_id = 'doc_3'"), g.edges.where("document_id = 'doc_3'")))
-of_graph("export_cypher", ", n AS (SELECT * FROM nodes WHERE document_id = 'doc_3'), e AS (SELECT * FROM edges WHERE document_id = 'doc_3') SELECT 'CREATE (:' || label || ' {id: ''' || id || ''', text: ''' || text || '''});' AS line FROM n UNION ALL SELECT 'MATCH (a {id: ''' || source_id || '''}), (b {id: ''' || target_id || '''}) CREATE (a)-[:' || type || ' {id: ''' || id || '''}]->(b);' FROM e")(lambda g: export.cypher(g.nodes.where("document_id = 'doc_3'"), g.edges.where("document_id = 'doc_3'")))
-of_graph("export_graphml", None)(lambda g: export.graphml(g.nodes.where("document_id = 'doc_3'"), g.edges.where("document_id = 'doc_3'")))
+of_graph("export_ntriples", f" SELECT '<{S}' || id || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <{S}' || label || '> .' AS line FROM nodes UNION ALL SELECT '<{S}' || id || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || text || '\" .' FROM nodes UNION ALL SELECT '<{S}' || source_id || '> <{S}' || type || '> <{S}' || target_id || '> .' FROM edges")(lambda g: export.ntriples(g.nodes, g.edges))
+of_graph("export_cypher", " SELECT 'CREATE (:' || label || ' {id: ''' || id || ''', text: ''' || text || '''});' AS line FROM nodes UNION ALL SELECT 'MATCH (a {id: ''' || source_id || '''}), (b {id: ''' || target_id || '''}) CREATE (a)-[:' || type || ' {id: ''' || id || '''}]->(b);' FROM edges")(lambda g: export.cypher(g.nodes, g.edges))
+of_graph("export_graphml", None)(lambda g: export.graphml(g.nodes, g.edges))
 of_graph("detach_delete", "SELECT type, count(*) AS n FROM edges WHERE source_id NOT IN (SELECT id FROM nodes WHERE document_id = 'doc_3') AND target_id NOT IN (SELECT id FROM nodes WHERE document_id = 'doc_3') GROUP BY type")(lambda g: mutate.delete_nodes(g.nodes, g.edges, g.nodes.where("document_id = 'doc_3'"))[1].groupBy("type").agg(F.count("*").alias("n")))
 of_graph("update_nodes", "SELECT type, count(*) AS n, round(sum(CASE WHEN type = 'Jurisdiction' THEN 1.0 ELSE confidence END), 2) AS total FROM nodes GROUP BY type")(lambda g: mutate.update_nodes(g.nodes, g.nodes.where("type = 'Jurisdiction'").select("id", F.lit(1.0).alias("confidence"))).groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("total")))
-of_graph("insert_edges", "SELECT count(*) AS n FROM edges e WHERE document_id = 'doc_x' AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)", True)(lambda g: mutate.insert_edges(g.nodes, g.edges.limit(0), g.edges.where("document_id = 'doc_x'"))[0].agg(F.count("*").alias("n")))
+of_graph("insert_edges", "SELECT count(*) AS n FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)", True)(lambda g: mutate.insert_edges(g.nodes, g.edges.limit(0), g.edges)[0].agg(F.count("*").alias("n")))
 of_graph("duplicate_ids", "SELECT id, count(*) AS n FROM edges GROUP BY id HAVING count(*) > 1")(lambda g: mutate.duplicate_ids(g.edges))
 of_graph("text_index", "SELECT word, count(DISTINCT id) AS n FROM (SELECT id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS word FROM nodes) WHERE word <> '' GROUP BY word")(lambda g: mutate.text_index(g.nodes).groupBy("word").agg(F.count("*").alias("n")))
 
