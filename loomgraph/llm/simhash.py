@@ -74,7 +74,7 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", confirm: int = 0) -> DataFrame:
     """(doc_id, fp), one row for each row of docs, fp over shingles.
 
-    With confirm, fp is over content words and pairs instead, and c1, c2, ... are as many 64-bit words over distinct
+    With confirm, fp is over distinct content words and pairs instead, and c1, c2, ... are as many 64-bit words over distinct
     shingles, so that a line repeated many times doesn't outweigh the rest of a text.
     """
     schema = "doc_id long, fp long" + "".join(f", c{i + 1} long" for i in range(confirm))
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
             hashes = [shingle_hashes(t, words) for t in texts]
-            cols = [majority_bits([content_hashes(t) for t in texts] if confirm else hashes)]
+            cols = [majority_bits([list(set(content_hashes(t))) for t in texts] if confirm else hashes)]
             for i in range(confirm):  # another mix of the same hashes
                 k = np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x2545F4914F6CDD1D & (1 << 64) - 1 | 1)
                 mixed = []

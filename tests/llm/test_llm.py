@@ -207,6 +207,15 @@ def test_links_across_the_sign_bit(spark, group, copies):
     assert [got.get(k, k) for k in range(len(fps))] == label
 
 
+def test_repeated_lines(spark):
+    """A line repeated any number of times adds few distinct shingles: the texts stay near copies."""
+    rows = [(k, prose(k, 300)) for k in range(20)]
+    rows += [(100 + k, t + " ".join(["", *[prose(k + 500, 12)] * 10])) for k, t in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(d).collect()}
+    assert kept >= set(range(20)) and len(kept) <= 21
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
