@@ -1,0 +1,219 @@
+"""Near copies by the exact Jaccard similarity of distinct shingles: a prefix-filtered self-join, verified.
+
+Shingles have one total order: rare ones first, as counted on a bounded sample (which changes cost and never
+results), then by hash. If two sets have a similarity of at least s, the first shingle they share is among the first
+n - ceil(s n) + 1 of each, so that every such pair meets under one of these. What meets is verified on the whole sets
+before anything is reduced; a pair already in one component by verified links needs no verification.
+
+Work and pairs grow with the square of a group of near copies. Texts without a shingle are one class. Rows without
+doc_id take no part.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import connected_components, cut, text_chunks
+from .simhash import shingle_hashes
+
+#: Rows that share a shingle beyond which they are dealt out as pairs of blocks.
+GROUP_ROWS = 16_384
+#: Rows of ids up to which they are broadcast (16 bytes each).
+BROADCAST_ROWS = 500_000
+#: Documents sampled to count common shingles, the least count, and the most shingles held.
+SAMPLE, LEAST, COMMON = 4_096, 3, 100_000
+#: Candidates verified for a document in each round; the last round takes all that are left.
+ROUNDS = (1, 8, 64, None)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64).view(np.int64))
+
+
+def common_shingles(docs: DataFrame, words: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that several documents of a sample hold, and their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in text_chunks(batches, ("text",)):
+            found, n = np.unique(np.concatenate([shingle_set(t, words) for t in texts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["token", "n"])
+
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "token long, n long")
+    rows = sampled.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    token, n = (np.array([r[c] for r in rows], np.int64) for c in ("token", "n"))
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: tuple[int, int], common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, version, key, n, tokens) for each row of docs: key stands for its set of n shingles, tokens are the first of them."""
+    num, den = similarity
+    known, times = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, versions, texts in text_chunks(batches, ("doc_id", "version", "text")):
+            keys, sizes, tokens = [], [], []
+            for t in texts:
+                s = shingle_set(t, words)
+                keys.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                sizes.append(len(s))
+                rank = np.zeros(len(s), np.int64)
+                if len(known) and len(s):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, times[at], 0)
+                tokens.append(s[np.argsort(rank, kind="stable")[: len(s) + (-num * len(s)) // den + 1 if len(s) else 0]])
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens)))
+            cols = [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "version", "key", "n", "tokens"])
+
+    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, key long, n int, tokens array<long>")
+
+
+def meet(similarity: tuple[int, int]):
+    """Arrow function over rows sorted by group: pairs (a, b) whose sizes and places allow the similarity."""
+    num, den = similarity
+
+    def solve(x: np.ndarray) -> np.ndarray:
+        key, n, pos, lo, hi, own = x[1], x[2], x[3], x[4], x[5], x[6]
+        change = (x[[0, 4, 5], 1:] != x[[0, 4, 5], :-1]).any(0)
+        starts = np.flatnonzero(np.concatenate([[True], change]))
+        sizes = np.diff(np.append(starts, x.shape[1]))
+        out: list[np.ndarray] = []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) * (num + den) >= num * (n[i] + n[j])
+            i, j = i[ok], j[ok]
+            out.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])]))
+            if sum(o.shape[1] for o in out) > 4_000_000:
+                out[:] = [np.unique(np.concatenate(out, axis=1), axis=1)]
+
+        small = np.repeat((sizes > 1) & (sizes <= 48), sizes)
+        end = np.repeat(starts + sizes, sizes)
+        rows, step = np.flatnonzero(small), 1
+        while len(rows := rows[rows + step < end[rows]]):
+            keep(rows, rows + step)
+            step += 1
+        for k in np.flatnonzero(sizes > 48):
+            at = np.arange(starts[k], starts[k] + sizes[k])
+            same = lo[at[0]] == hi[at[0]]
+            left, right = (at, at) if same else (at[own[at] == lo[at[0]]], at[own[at] == hi[at[0]]])
+            block = max(1, 1_000_000 // max(1, len(right)))
+            for f in range(0, len(left), block):
+                i, j = (z.ravel() for z in np.meshgrid(left[f : f + block], right, indexing="ij"))
+                if same:
+                    i, j = i[j > i], j[j > i]
+                keep(i, j)
+        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(kept, axis=1)
+            upto = x.shape[1] if last else int(np.flatnonzero((x[[0, 4, 5]] != x[[0, 4, 5], -1:]).any(0)).max(initial=-1)) + 1
+            kept[:] = [] if last else [x[:, upto:]]
+            now = x[:, :upto]  # exact copies have one key: one of them takes part
+            now = now[:, np.flatnonzero(np.concatenate([[True], (now[[0, 1, 4, 5], 1:] != now[[0, 1, 4, 5], :-1]).any(0)]))] if upto else now
+            if now.shape[1] > 1:
+                a, b = solve(now)
+                for f in range(0, len(a), 500_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[f : f + 500_000]), pa.array(b[f : f + 500_000])], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                token, key, place = (np.asarray(batch.column(c)) for c in ("token", "key", "place"))
+                dealt = [np.asarray(batch.column(c)) for c in ("lo", "hi", "own")] if batch.num_columns > 3 else [np.zeros_like(token)] * 3
+                kept.append(np.stack([token, key, place & (1 << 32) - 1, place >> 32, *dealt]))
+                if sum(k.shape[1] for k in kept) >= 500_000:
+                    yield from flush(False)
+        if kept:
+            yield from flush(True)
+
+    return run
+
+
+def candidates(found: DataFrame, similarity: tuple[int, int], common: tuple[np.ndarray, np.ndarray], every: int, group_rows: int) -> DataFrame:
+    """Distinct pairs (a, b) of keys of found (key, n, tokens): every pair of that similarity, and others."""
+    rows = found.select("key", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("place"))
+    blocks = -(-common[1] * every // group_rows)
+    hot = [(int(t), int(b)) for t, b in zip(common[0][blocks > 1], blocks[blocks > 1], strict=True)]
+    zero = F.lit(0).cast("long")
+    if hot:
+        dealt = rows.join(F.broadcast(rows.sparkSession.createDataFrame(hot, "token long, blocks long")), "token", "left")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.coalesce("blocks", zero + 1)))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.coalesce("blocks", zero + 1) - 1)))
+        dealt = dealt.select("token", "key", "place", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+        order = ["token", "lo", "hi"]
+    else:
+        dealt, order = rows, ["token"]
+    return dealt.repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(meet(similarity), "a long, b long").distinct()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast behind a check of its rows, so that the texts it is joined with aren't shuffled for it."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs whose whole sets have the similarity. rows (key, doc_id, version) names a text of each key.
+
+    The text of each a goes once, ahead of the texts of its b.
+    """
+    num, den = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, p = None, np.zeros(0, np.int64)
+        for a, b, texts in text_chunks(batches, ("a", "b", "text")):
+            out = []
+            for x, y, t in zip(a, b, texts, strict=True):
+                if y is None:
+                    now, p = x, shingle_set(t, words)
+                    continue
+                assert now == x
+                q = shingle_set(t, words)
+                shared = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+                if shared * den >= num * (len(p) + len(q) - shared):
+                    out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    both = pairs.select("a", "b", F.col("b").alias("key")).unionAll(pairs.select("a", F.lit(None).cast("long"), F.col("a")).distinct())
+    texts = docs.join(small(both.join(rows, "key").select("doc_id", "version", "a", "b")), ["doc_id", "version"])
+    return texts.select("a", "b", "text").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
+
+
+def classes(docs: DataFrame, words: int, similarity: tuple[int, int], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, version, key, class) for every row of docs (doc_id, version, text) with a doc_id."""
+    docs = docs.where("doc_id is not null")
+    every = max(1, docs.count() // SAMPLE)
+    common = common_shingles(docs, words, every)
+    found = cut(prefixes(docs, words, similarity, common))
+    left = cut(candidates(found.where("n > 0"), similarity, common, every, group_rows))
+    taken = left.select(F.col("a").alias("key")).union(left.select(F.col("b").alias("key"))).distinct()
+    one = found.groupBy("key").agg(F.min(F.struct("doc_id", "version")).alias("row"))
+    one = cut(one.join(taken, "key").select("key", "row.doc_id", "row.version"))
+    links = labels = None
+    for most in ROUNDS:
+        if left.isEmpty():
+            break
+        turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        now = left if most is None else left.withColumn("turn", turn).where(F.col("turn") <= most).select("a", "b")
+        good = cut(verified(cut(now), docs, one, words, similarity))
+        links = good if links is None else links.unionAll(good)
+        labels = connected_components(links)
+        if most is None:
+            break
+        rest = left.withColumn("turn", turn).where(F.col("turn") > most).select("a", "b")
+        for c in ("a", "b"):
+            rest = rest.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+        left = cut(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    if labels is None:
+        return found.select("doc_id", "version", "key", F.col("key").alias("class"))
+    return found.join(labels, found["key"] == labels["node"], "left").select("doc_id", "version", "key", F.coalesce("component", "key").alias("class"))

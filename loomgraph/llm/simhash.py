@@ -307,17 +307,18 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 8, whole: int = 26, words: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: tuple[int, int] = (4, 5), words: int = 5) -> DataFrame:
     """The rows of docs without near copies: of each class, the document of the smallest doc_id.
 
-    Two documents are linked if the fingerprints of their content words and word pairs differ in at most ``distance`` of 64
-    bits, and those of their five-word shingles in at most ``whole`` of 128: a Jaccard similarity of 0.8 is a cosine
-    of 0.89 and differs in 19 of 128 on average, with a deviation of 4. Rows without doc_id are kept, and so is every empty or
-    null text's smallest id alone. Of rows that repeat a doc_id one is kept.
+    Two documents are linked if the Jaccard similarity of their distinct shingles of five words is at least ``similarity`` (a
+    fraction): exactly, see setjoin. Rows without doc_id are kept, and so is every empty or null text's smallest id
+    alone. Of rows that repeat a doc_id one is kept.
     """
-    found = cut(components(docs, words, distance, confirm=2, whole=whole))
-    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = without(docs, found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
-    if repeated:
+    from .setjoin import classes
+
+    found = cut(classes(docs.select("doc_id", F.xxhash64("text").alias("version"), "text"), words, similarity))
+    best = found.groupBy("class").agg(F.min("doc_id").alias("best"))
+    kept = without(docs, found.join(best, "class").where("doc_id <> best").select("doc_id").distinct())
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -216,6 +216,35 @@ def test_repeated_lines(spark):
     assert kept >= set(range(20)) and len(kept) <= 21
 
 
+@pytest.mark.parametrize("group", [16_384, 4])
+def test_near_copies_exactly(spark, group):
+    """Just those pairs at a Jaccard similarity of 0.8 or more are linked, in whole groups and dealt out."""
+    from loomgraph.llm import setjoin
+
+    rng = random.Random(6)
+    texts = ["", None, "one", "one", *(prose(k, 40 + 5 * k) for k in range(20))]
+    footer = prose(900, 40)  # in many texts
+    for t in texts[4:]:
+        for _ in range(8):
+            w = t.split()
+            for at in rng.sample(range(len(w)), rng.randint(0, max(1, len(w) // 40))):
+                w[at] = rng.choice(WORDS) + "x"
+            texts.append(" ".join(w))
+    texts += [prose(k + 2000, 20 + 10 * (k % 20)) + " " + footer for k in range(60)]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    near = np.array([[a == b or 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(texts))
+    for _ in texts:
+        label = np.array([label[near[i]].min() for i in range(len(texts))])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = setjoin.classes(d.select("doc_id", F.xxhash64("text").alias("version"), "text"), 5, (4, 5), group).collect()
+    low = {}
+    for r in found:
+        low[r["class"]] = min(low.get(r["class"], 10**9), r["doc_id"])
+    assert {r["doc_id"]: low[r["class"]] for r in found} == dict(enumerate(label.tolist()))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(d).collect()) == sorted(set(label.tolist()))
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
