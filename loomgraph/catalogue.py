@@ -100,7 +100,7 @@ walk AS (SELECT other AS place, id AS edge_ids, [id] AS seen, 1 AS length FROM b
 of_graph("paths_bounded", f"{WALK} SELECT edge_ids, CAST(length AS BIGINT) AS length FROM walk WHERE place = (SELECT min(target_id) FROM sub WHERE type = 'OBLIGATES' AND document_id = 'doc_3') ORDER BY length, edge_ids LIMIT 10")(
     lambda g: paths.trails(g.edges, "nat_3", g.edges.where("document_id = 'doc_3' and type = 'OBLIGATES'").agg(F.min("target_id")).first()[0] or "", kinds=["GOVERNS", "OBLIGATES"])
 )
-of_graph("shortest_path_avg", None)(lambda g: paths.mean_distance(g.edges.where("document_id = 'doc_3' and type = 'GOVERNS'"), g.nodes.where("document_id = 'doc_3'"), 4))
+of_graph("shortest_path_avg", None)(lambda g: paths.mean_distance(g.edges, g.nodes.where("document_id = 'doc_3'")))
 of_graph("pagerank", None)(lambda g: paths.pagerank(g.nodes, g.edges, 5).select("id", F.round("rank", 4).alias("rank")))
 
 PARTS = "SELECT p_partkey AS id, p_name AS text, p_type AS type, p_retailprice AS confidence FROM part"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,12 @@ def trails(edges: DataFrame, start: str, end: str, depth: int = 3, kinds: list[s
     return found if limit is None else found.orderBy("length", "edge_ids").limit(limit)
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """(source, node, distance) by breadth-first search from each id of sources, undirected."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, distance) by breadth-first search from each id of sources, undirected, until no node is new."""
     step = checkpointed(oriented(edges).select("node", "other").distinct())
     seen = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("distance"))
     front = seen
-    for d in range(1, most + 1):
+    for d in count(1) if most is None else range(1, most + 1):
         new = front.join(step, "node").select("source", F.col("other").alias("node")).distinct().join(seen, ["source", "node"], "left_anti")
         front = checkpointed(new.withColumn("distance", F.lit(d)))
         if front.isEmpty():
@@ -37,9 +39,10 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame
     return seen
 
 
-def mean_distance(edges: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
-    """Mean shortest path over connected unordered pairs."""
-    d = distances(edges, nodes, most).where("source < node")
+def mean_distance(edges: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Mean shortest path over connected unordered pairs of nodes; a path may lead over any edges and other nodes."""
+    ids = nodes.select(F.col("id").alias("node")).distinct()
+    d = distances(edges, nodes.select("id").distinct(), most).where("source < node").join(ids, "node", "left_semi")
     return d.agg(F.count("*").alias("pairs"), F.round(F.avg("distance"), 4).alias("avg_distance"))
 
 

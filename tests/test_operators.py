@@ -121,6 +121,13 @@ def test_paths(spark):
     assert paths.pagerank(n, e, 3).count() == 3
 
 
+def test_long_paths(spark):
+    """Paths of any length and type, also over nodes that aren't asked for."""
+    e = spark.createDataFrame([(f"e{k}", f"n{k:02}", f"n{k + 1:02}", "T" if k % 2 else "U") for k in range(25)], "id string, source_id string, target_id string, type string")
+    got = paths.mean_distance(e, spark.createDataFrame([("n00",), ("n01",), ("n25",)], "id string")).first()
+    assert (got["pairs"], got["avg_distance"]) == (3, round((1 + 25 + 24) / 3, 4))
+
+
 def test_mutations(spark):
     n = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
     new, rejected = mutate.insert_nodes(n, spark.createDataFrame([("b", "z"), ("c", "z")], "id string, text string"))
