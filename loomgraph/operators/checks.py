@@ -44,11 +44,11 @@ def wrong_sources(nodes: DataFrame, edges: DataFrame, kind: str = "OBLIGATES", l
     return edges.where(F.col("type") == kind).join(ends, "source_id").where(~F.col("source_label").isin(labels)).select("id", "source_id", "source_label")
 
 
-def cycles(edges: DataFrame, kind: str = "DEPENDS_ON", most: int = 20) -> DataFrame:
-    """(start, length) of cycles of distinct edges, named by their smallest node.
+def cycles(edges: DataFrame, kind: str = "DEPENDS_ON") -> DataFrame:
+    """(start, length) of cycles of distinct nodes, named by their smallest node.
 
     First what can't lie on a cycle is peeled off (nodes without a way in or out, until none is left), then trails are
-    followed from each left node.
+    followed from each left node until no trail is left.
     """
     e = edges.where(F.col("type") == kind).select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct()
     n = -1
@@ -62,13 +62,15 @@ def cycles(edges: DataFrame, kind: str = "DEPENDS_ON", most: int = 20) -> DataFr
     trails = e.select(F.col("s").alias("start"), F.col("t").alias("at"), F.array("s", "t").alias("seen"))
     found, length = trails.where("start = at").select("start", F.lit(1).alias("length")), 1
     trails = trails.where("start < at")
-    while length < most:
+    while True:
         length += 1
         step = trails.join(e, trails["at"] == e["s"]).where((F.col("t") == F.col("start")) | ((F.col("t") > F.col("start")) & ~F.array_contains("seen", F.col("t"))))
         step = checkpointed(step.select("start", F.col("t").alias("at"), F.concat("seen", F.array("t")).alias("seen")))
         if step.isEmpty():
             break
         found = found.unionAll(step.where("start = at").select("start", F.lit(length).alias("length")))
+        if length % 20 == 0:  # the plan stays short however long the trails
+            found = checkpointed(found.coalesce(8))
         trails = step.where("start <> at")
     return found
 

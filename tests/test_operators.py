@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import chunk
 from loomgraph.functions import text as T
-from loomgraph.operators import evaluate, extract, mutate, paths, resolve, retrieve, rules
+from loomgraph.operators import checks, evaluate, extract, mutate, paths, resolve, retrieve, rules
 from loomgraph.plans import pipeline
 from loomgraph.sources import files
 from loomgraph.streaming import ingest
@@ -128,6 +128,13 @@ def test_long_paths(spark):
     assert (got["pairs"], got["avg_distance"]) == (3, round((1 + 25 + 24) / 3, 4))
 
 
+def test_long_cycle(spark):
+    """A ring of more than 20 nodes is one cycle, and the check fails."""
+    ring = [(f"e{k}", f"n{k:02}", f"n{(k + 1) % 23:02}", "DEPENDS_ON") for k in range(23)] + [("x", "n22", "z", "DEPENDS_ON")]
+    e = spark.createDataFrame(ring, "id string, source_id string, target_id string, type string")
+    assert [tuple(r) for r in checks.cycles(e).collect()] == [("n00", 23)]
+
+
 def test_mutations(spark):
     n = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
     new, rejected = mutate.insert_nodes(n, spark.createDataFrame([("b", "z"), ("c", "z")], "id string, text string"))
