@@ -83,7 +83,12 @@ ANCHORS = ["licen", "copyright", "permission", "redistribut", "warrant", "provid
 for _id, _sentence in SENTENCES:
     assert any(a in _sentence for a in ANCHORS), _id
 ANCHOR = "(?i)" + "|".join(ANCHORS)
+#: Ends of lines and sentences.
 ENDS = r"[.!?]+[ \t\r]+|[.!?]*[ \t\r]*[\n;]+"
+#: Ends of sentences that may be wrapped: each is an end by ENDS too. Blank lines of comments count as blank.
+PARTS = r"[.!?]+[ \t\r\n]+|;+|:[ \t\r]*\n|\n[ \t\r*#/]*\n|\n(?=[ \t]*(?:-|\(?[0-9a-z]{1,2}[).])[ \t])"
+#: A wrapped sentence starts where its part does, or at a line that starts like a known sentence.
+STARTS = "^(?:" + "|".join(sorted({w for _, p in SENTENCES for w in (re.findall(r"^\(([a-z|]+)\)|^([a-z]+)|^\([0-9] \)\?([a-z]+)", p) or [("", "", "")])[0] if w})) + r")\b"
 
 
 def normalised(sentence: Column) -> Column:
@@ -97,11 +102,36 @@ def identifier(sentence: Column) -> Column:
     return out
 
 
+def part_ids(part: Column) -> Column:
+    """Identifiers of a part: of its lines, up to one from which all that is left is a known sentence, wrapped."""
+
+    def one(s: Column) -> Column:
+        return F.when(s.rlike(ANCHOR), identifier(normalised(s)))
+
+    def known(found: Column) -> Column:
+        return found.isNotNull() & (found != "OtherLicence")
+
+    def step(done: Column, at: Column) -> Column:
+        lines, ids = done["lines"], done["ids"]
+        line = F.element_at(lines, at)
+        alone = one(line)
+        first = (at < F.size(lines)) & ((at == 1) | normalised(line).rlike(STARTS))
+        rest = F.when(first & ~F.coalesce(known(alone), F.lit(False)), one(F.array_join(F.slice(lines, at, F.size(lines)), " ")))
+        taken = F.coalesce(known(rest), F.lit(False))
+        more = F.struct(lines.alias("lines"), F.concat(ids, F.array(F.when(taken, rest).otherwise(alone))).alias("ids"), taken.alias("over"))
+        return F.when(done["over"], done).otherwise(more)
+
+    lines = F.split(part, ENDS, -1)
+    start = F.struct(lines.alias("lines"), F.array().cast("array<string>").alias("ids"), F.lit(False).alias("over"))
+    wrapped = F.aggregate(F.sequence(F.lit(1), F.size(lines)), start, step, lambda done: done["ids"])
+    return F.when(part.contains("\n"), wrapped).otherwise(F.array(identifier(normalised(part))))
+
+
 def recognise(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licenses), both arrays in the text's order and the rules' order."""
     anchored = F.coalesce(F.col("text").rlike(ANCHOR), F.lit(False))
-    held = F.filter(F.split("text", ENDS, -1), lambda s: s.rlike(ANCHOR))
-    ids = F.filter(F.transform(held, lambda s: identifier(normalised(s))), lambda x: x.isNotNull())
+    parts = F.filter(F.split("text", PARTS, -1), lambda s: s.rlike(ANCHOR))
+    ids = F.filter(F.flatten(F.transform(parts, part_ids)), lambda x: x.isNotNull())
     df = docs.select("doc_id", F.when(anchored, ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     # each identifier has its own commas, so that rules that follow each other both match
     text = F.when(F.size("sentence_ids") > 0, F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))).otherwise(F.lit(""))
@@ -149,11 +179,19 @@ SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ','
 def recognise_in_python(text: str | None) -> tuple[list[str], list[str]]:
     """The same identifiers and licences, for tests."""
     ids = []
-    for s in re.split(ENDS, text or ""):
-        s = re.sub("[^a-z0-9]+", " ", s.lower()).strip(" ")
-        hit = next((n for n, p in SENTENCES if re.fullmatch(p, s)), None)
-        if hit:
-            ids.append(hit)
+    plain = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip(" ")
+    one = lambda s: next((n for n, p in SENTENCES if re.fullmatch(p, plain(s))), None)
+    for part in re.split(PARTS, text or ""):
+        lines = re.split(ENDS, part)
+        for k, line in enumerate(lines):
+            hit = one(line)
+            if hit in (None, "OtherLicence") and k + 1 < len(lines) and (k == 0 or re.search(STARTS, plain(line))):
+                rest = one(" ".join(lines[k:]))
+                if rest not in (None, "OtherLicence"):
+                    ids.append(rest)
+                    break
+            if hit:
+                ids.append(hit)
     left, names = "," + ",".join(ids) + "," if ids else "", []
     for name, pattern in RULES:
         if re.search(pattern, left):

@@ -39,6 +39,23 @@ def test_licenses(spark):
     assert ["GPL", "MIT"] in [sorted(g[2]) for g in got]
 
 
+def test_wrapped_licenses(spark):
+    """Licence texts wrapped at some columns give what they give on one line."""
+    import textwrap
+
+    mit = ["The MIT License (MIT)", "Copyright (c) 2020 A Person", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."]
+    gpl = ["Copyright (C) 2001 B Person", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY, without even the implied warranty of FITNESS.", "You should have received a copy of the GNU General Public License along with this program."]
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation."]
+    whole = ["\n\n".join(x) for x in (mit, gpl, bsd)]
+    texts = [*whole, *("\n\n".join(textwrap.fill(p, w) for p in x) for w in (78, 60) for x in (mit, gpl, bsd))]
+    texts.append("\n".join(" * " + line for line in texts[4].split("\n")))  # in a comment
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["sentence_ids"], r["licenses"]) for r in licenses.recognise(d).orderBy("doc_id").collect()]
+    assert [g[1] for g in got] == [["MIT"], ["GPL"], ["BSD-2-Clause"]] * 3 + [["GPL"]]
+    assert got[3:6] == got[6:9] == got[:3]
+    assert got == [tuple(licenses.recognise_in_python(t)) for t in texts]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
