@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, ensure_checkpoint_dir  # noqa: F401
+
 #: Characters of text that an Arrow worker handles at once; bounds its memory whatever the rows hold.
 CHUNK_CHARS = 2_000_000
 
@@ -24,28 +25,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only where none is named (tests) make one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: lost executors don't lose it and it is computed once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Ids up to which a list of documents to drop is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs without the doc_ids of bad: broadcast behind a check of their number, else a shuffled anti join."""
+def without(docs: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
+    """docs without the rows whose key is in bad: broadcast behind a check of their number, else a shuffled anti join."""
     bad = cut(bad)
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, on, "left_anti")
 
 
 def text_chunks(batches: Iterator, columns: tuple[str, ...] = ("doc_id", "text"), most: int = CHUNK_CHARS) -> Iterator[list[list]]:
@@ -88,9 +83,9 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the links (a, b) that isn't its component's smallest node.
 
-    Alternating large-star and small-star rounds: the number of links never grows, a hub's links are
-    never brought together (its minimum is a combinable aggregate, which joins back by key), and
-    each round is cut in the shared checkpoint folder.
+    Alternating large-star and small-star rounds: the number of links never grows, a node's minimum is a combinable
+    aggregate, and each round is cut in the shared checkpoint folder. The minima are cut as well, so that the join that
+    takes them to a hub's links reads two plain exchanges, of which adaptive execution splits a hub's.
     """
     e = cut(
         edges.where("a is not null and b is not null and a <> b")
@@ -104,8 +99,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return e.select(F.col("b").alias("node"), F.col("a").alias("component"))
         before = (sums["n"], sums["x"])
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("a"), F.least("u", "m").alias("m")))
+        large = e.join(low, "a").select(F.col("m").alias("a"), "b").distinct()  # a < b: these are the links to larger nodes
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         e = cut(small.unionAll(least.select(F.col("m").alias("a"), "b")).distinct())

@@ -8,7 +8,8 @@ values is a candidate (bands of one row: the recall that containment needs), and
 containment of the item's distinct shingles in the document's.
 
 With 48 values, an item of containment 0.8 is missed by its window with a chance under 2.3e-5 in the worst case, and 1e-6 for
-exact passages. Items are the stated query set: they are taken in blocks of a bounded size, each against all documents.
+exact passages. Items of up to four shingles, which must be there whole and are too short for a signature, are looked up by a
+shingle's hash. Items are the stated query set: they are taken in blocks of a bounded size, each against all documents.
 
 Null or empty texts (of items or documents) match nothing. A text shorter than a shingle is one shingle. Repeated rows
 match as often as they occur. Other columns are ignored.
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, without
+from .common import fresh, text_chunks, without
 from .simhash import shingle_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 VALUES = 48
 SMALLEST = 8
-#: Items that go to the executors at once.
-BLOCK_ITEMS = 20_000
+#: Shingles of an item up to which it is looked up by hash; at 0.8 all of them must be there.
+TINY = 4
+#: Items, and characters of items, that go to the executors at once.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 64_000_000
 
 
 def multipliers(n: int = VALUES) -> np.ndarray:
@@ -45,7 +48,13 @@ class Index:
         self.a = multipliers()
         self.items = [(i, np.unique(np.array(h, np.uint64))) for i, h in items if h]
         classes: dict[int, list[int]] = {}
+        tiny = [k for k, (_, h) in enumerate(self.items) if len(h) <= TINY]
+        first = np.array([self.items[k][1][0] for k in tiny], np.uint64)
+        order = np.argsort(first, kind="stable")
+        self.tiny, self.tiny_items = first[order], np.array(tiny, np.int64)[order]
         for k, (_, h) in enumerate(self.items):
+            if len(h) <= TINY:
+                continue
             u = max(SMALLEST, 1 << (len(h) - 1).bit_length())
             classes.setdefault(u, []).append(k)
         self.by_class = []
@@ -68,7 +77,13 @@ class Index:
         inner = np.arange(blocks.sum()) - np.repeat(first, blocks)
         at = np.repeat(starts, blocks) + inner * SMALLEST
         found: set[tuple[int, int]] = set()
-        for v in range(VALUES):
+        if len(self.tiny):
+            hit = np.flatnonzero(self.tiny[np.minimum(np.searchsorted(self.tiny, hashes), len(self.tiny) - 1)] == hashes)
+            text = np.searchsorted(starts, hit, side="right") - 1
+            for t, x in zip(text.tolist(), hashes[hit], strict=True):
+                lo, hi = np.searchsorted(self.tiny, x, "left"), np.searchsorted(self.tiny, x, "right")
+                found.update((t, int(k)) for k in self.tiny_items[lo:hi])
+        for v in range(VALUES if self.by_class else 0):
             low = np.minimum.reduceat(hashes * self.a[v], at)
             f, n, u = first, blocks, SMALLEST
             for want, tables in self.by_class:
@@ -92,23 +107,23 @@ class Index:
         return found
 
 
-def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, shared, item_shingles, containment) of documents that hold an item."""
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
+def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles, containment) of documents that hold an item; keep: columns of type long that go with it."""
+    sizes = items.agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).first()
+    blocks = max(1, -(-sizes["n"] // block_items), -(-(sizes["chars"] or 0) // BLOCK_CHARS))
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         held = [(r["item_id"], shingle_hashes(r["text"], words)) for r in part.select("item_id", "text").collect()]
-        found = search(docs, held, words, threshold)
+        found = search(docs, held, words, threshold, keep)
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def search(docs: DataFrame, held: list[tuple[int, list[int]]], words: int, threshold: float) -> DataFrame:
+def search(docs: DataFrame, held: list[tuple[int, list[int]]], words: int, threshold: float, keep: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held)
-        for ids, texts in text_chunks(batches):
+        for ids, texts, *more in text_chunks(batches, ("doc_id", "text", *keep)):
             hashes = [shingle_hashes(t, words) for t in texts]
             full = [k for k, h in enumerate(hashes) if h]
             if not full or not index.items:
@@ -124,16 +139,19 @@ def search(docs: DataFrame, held: list[tuple[int, list[int]]], words: int, thres
                     own = {t: np.unique(flat[starts[t] : starts[t] + sizes[t]])}
                 shared = int(np.isin(h, own[t], assume_unique=True).sum())
                 if shared >= threshold * len(h) - 1e-9:
-                    rows.append((ids[full[t]], item, shared, len(h), shared / len(h)))
+                    rows.append((ids[full[t]], item, shared, len(h), shared / len(h), *(m[full[t]] for m in more)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.float64(),), strict=True)], names=["doc_id", "item_id", "shared", "item_shingles", "containment"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.float64(),) + (pa.int64(),) * len(keep), strict=True)], names=["doc_id", "item_id", "shared", "item_shingles", "containment", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long, containment double")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long, containment double" + "".join(f", {c} long" for c in keep))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item; rows without doc_id are kept."""
-    return without(docs, matches(docs, items).select("doc_id").where("doc_id is not null").distinct())
+    """The rows of docs that hold no item; rows without doc_id are kept. Rows of one doc_id are judged each by its own text."""
+    version = fresh(docs, "version")
+    docs = docs.withColumn(version, F.xxhash64("text"))
+    bad = matches(docs, items, keep=(version,)).where("doc_id is not null").select("doc_id", version).distinct()
+    return without(docs, bad, ["doc_id", version]).drop(version).select(*docs.drop(version).columns)
 
 
 def oracle(words: int = WORDS, threshold: float = THRESHOLD) -> str:

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, text_chunks
+from .common import cut, fresh, held_out, text_chunks
 
 #: Length of a profile and of a document's ranking.
 RANKS = 300
@@ -159,18 +159,23 @@ class Classifier:
         return self.langs[best], 1.0 - float(apart[best]) / (self.ranks * len(top))
 
 
-def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score), one row for each row of docs; keep: columns that go with it."""
+def classified(text: str, model: dict) -> Column:
+    """(lang, score) of a text column."""
 
     @F.arrow_udf("struct<lang:string,score:double>")
-    def classified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = Classifier(model)
         for column in batches:
             found = [classify(t) for (texts,) in text_chunks([pa.RecordBatch.from_arrays([column], names=["text"])], ("text",)) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "score"])
 
-    out = docs.select("doc_id", *keep, classified("text").alias("_found"))
-    return out.select("doc_id", *keep, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    return run(text)
+
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, lang_pred, score), one row for each row of docs."""
+    out = docs.select("doc_id", classified("text", model).alias("found"))
+    return out.select("doc_id", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
 def identify(docs: DataFrame, taught: DataFrame | None = None) -> DataFrame:
@@ -179,9 +184,16 @@ def identify(docs: DataFrame, taught: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language: those without a letter (null, empty, digits or marks only) go."""
-    columns = docs.columns
-    model = learn(docs)
-    found = predict(docs, model, tuple(c for c in columns if c != "doc_id"))
-    return found.where("lang_pred <> 'und'" if model["profiles"] else F.col("text").rlike(r"\p{L}")).select(*columns)
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs whose text has a language (of those named, if any are), which becomes their lang.
+
+    Texts without a letter (null, empty, digits or marks only) go. Where no row teaches a language there is none to tell:
+    texts with a letter stay as they are.
+    """
+    columns, model = docs.columns, learn(docs)
+    if not model["profiles"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = fresh(docs, "found")
+    lang = F.col(f"{found}.lang")
+    out = docs.withColumn(found, classified("text", model)).where(lang != "und" if languages is None else lang.isin(*languages))
+    return out.withColumn("lang", lang).select(*columns)

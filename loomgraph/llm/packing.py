@@ -4,8 +4,12 @@ The ids of a run of documents lie one after another; windows of at most ``limit`
 at a document's end (free), at a sentence's end (a small truncation penalty) or, where neither comes within a
 window, after any id (a large penalty). The programme minimises padding plus penalties:
 ``best[j] = min(best[i] + limit - (at[j] - at[i])) + penalty[j]`` over the cuts i at most ``limit`` before j. As
-``best[i] + at[i]`` doesn't depend on j, the minimum over the sliding range is kept in a monotone queue. The ids that
-are left at a task's end are cut to lengths that are powers of two, which need no padding.
+``best[i] + at[i]`` doesn't depend on j, the minimum over the sliding range is kept in a monotone queue. At a task's end the
+last few windows are planned again by the same programme over all places, in which a window may also have a length that is a
+power of two: it needs no padding, but costs a small penalty for a short sequence.
+
+Ids are those of the tokenizer's plain call, without special tokens added; a special token that stands in a text as
+such is its own id, as in that call.
 
 Null and empty texts have the end id alone. Texts of any length are cut as needed, and each id lies in exactly one piece. Rows
 that repeat are packed as often as they occur; other columns are ignored. Each task packs the rows of its own partition
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import text_chunks
 
 LIMIT = 2048
-#: Penalties in ids of padding.
-SENTENCE_CUT, ANY_CUT = 4, 64
+#: Penalties in ids of padding: cuts, and a short sequence whose length is a power of two.
+SENTENCE_CUT, ANY_CUT, SHORT = 4, 64, 32
+#: Windows at a task's end that are planned again.
+LAST_WINDOWS = 3
 #: Ids of the run that one programme covers, at least.
 RUN_IDS = 1_500_000
 #: Words whose ids a worker keeps, at most.
@@ -67,7 +73,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         assert self.tok.encode("\n", add_special_tokens=False).ids == [self.NEWLINE]
         self.clear()
 
@@ -113,7 +119,7 @@ class Words:
         if len(self.size) > KEPT_WORDS:
             self.clear()
         split = [t.split() for t in texts]
-        plain = [bool(w) and " ".join(w) == t.replace("\n", " ") for t, w in zip(texts, split, strict=True)]
+        plain = [bool(w) and " ".join(w) == t.replace("\n", " ") and not any(x in t for x in self.special) for t, w in zip(texts, split, strict=True)]
         words = list(itertools.chain.from_iterable(w for w, p in zip(split, plain, strict=True) if p))
         number = np.array([len(w) if p else 0 for w, p in zip(split, plain, strict=True)])
         if words:
@@ -162,12 +168,15 @@ def kept_words(path: str) -> Words:
     return state.words
 
 
-def windows(at: list[int], penalty: list[int], limit: int = LIMIT, last: bool = True) -> list[int]:
+def windows(at: list[int], penalty: list[int], limit: int = LIMIT, last: bool = True, short: int | None = None) -> list[int]:
     """The least-cost cuts (places in at) of ids at[0]..at[-1]; neighbours in at lie at most limit apart.
 
-    last False: the last window is left open, and the cuts before it are returned.
+    last False: the last window is left open, and the cuts before it are returned. short: the cost of a window whose length is
+    a power of two, instead of its padding.
     """
     n = len(at)
+    lengths = [] if short is None else [1 << b for b in range(limit.bit_length()) if 1 << b < limit]
+    place = {a: k for k, a in enumerate(at)} if lengths else {}
     best, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(at[0], 0)])  # (best + at, place), rising
     for j in range(1, n):
@@ -178,6 +187,11 @@ def windows(at: list[int], penalty: list[int], limit: int = LIMIT, last: bool =
         key, i = queue[0]
         best[j] = b = key + limit - a + penalty[j]
         back[j] = i
+        for size in lengths:
+            i = place.get(a - size)
+            if i is not None and best[i] + short + penalty[j] < b:
+                best[j] = b = best[i] + short + penalty[j]
+                back[j] = i
         key = b + a
         while queue and queue[-1][0] >= key:
             queue.pop()
@@ -193,10 +207,6 @@ def windows(at: list[int], penalty: list[int], limit: int = LIMIT, last: bool =
     return cuts[::-1]
 
 
-def powers_of_two(n: int) -> list[int]:
-    return [1 << b for b in reversed(range(n.bit_length())) if n >> b & 1]
-
-
 def pack_run(ids: np.ndarray, doc_ends: np.ndarray, stops: np.ndarray, limit: int, last: bool) -> np.ndarray:
     """The cuts of one run, as numbers of ids before them. doc_ends: ids up to each document's end."""
     penalty = np.full(len(ids) + 1, -1, np.int32)
@@ -215,9 +225,12 @@ def pack_run(ids: np.ndarray, doc_ends: np.ndarray, stops: np.ndarray, limit: in
     places = at.tolist()
     cuts = at[windows(places, penalty[at].tolist(), limit, last=False)] if len(places) > 1 else at[:0]
     if last:
+        cuts = cuts[: max(0, len(cuts) - LAST_WINDOWS)]
         done = int(cuts[-1]) if len(cuts) else 0
-        rest = len(ids) - done
-        cuts = np.concatenate([cuts, done + np.cumsum(powers_of_two(rest))]) if rest else cuts
+        rest = penalty[done:]
+        rest[rest < 0] = ANY_CUT
+        rest[0] = 0
+        cuts = np.concatenate([cuts, done + np.array(windows(list(range(len(rest))), rest.tolist(), limit, short=SHORT), np.int64)])
     return cuts.astype(np.int64)
 
 

@@ -7,12 +7,13 @@ and the parts' (threshold + 1) sum to ``d + 1``, some part differs within its th
 threshold t is probed by one key for each choice of t masked bits, so that both sides meet by equality.
 
 Nulls and empty texts: fingerprint zero, linked like any other. Ties and repeated rows: equal fingerprints
-are one class. A null doc_id keeps its row, with its class's component. Other columns are ignored.
+are one class. A null doc_id keeps its row, with its class's component. Other columns are ignored. An empty table
+gives an empty one. What goes on with the candidates for near copies by exact similarity is in ``nearcopies``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, forest, text_chunks, without
+from .common import connected_components, cut, forest, text_chunks
 
 #: Fingerprints in a probe group beyond which it is dealt out as pairs of blocks.
 GROUP_ROWS = 16_384
@@ -47,16 +48,6 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> list[int]:
     return [h(line[s:e], seed) for s, e in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def content_hashes(text: str | None, least: int = 6) -> list[int]:
-    """XXH64 of each word of at least so many bytes (punctuation at its ends aside) and of each pair of neighbours.
-
-    One changed word changes three of these, and five of the shingles of five words: near copies stay closer.
-    """
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = xxhash.xxh64_intdigest
-    return [h(x.strip(b".,;:!?"), 42) for x in w if len(x) >= least] + [h(a + b" " + b, 42) for a, b in zip(w, w[1:], strict=False)] or [h(x, 42) for x in w]
-
-
 def majority_bits(hashes: list[list[int]]) -> np.ndarray:
     """The fingerprint of each list of hashes as int64: a bit is 1 if it is set in over half of them."""
     out = np.zeros(len(hashes), np.int64)
@@ -71,29 +62,15 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", confirm: int = 0) -> DataFrame:
-    """(doc_id, fp), one row for each row of docs, fp over shingles.
-
-    With confirm, fp is over distinct content words and pairs instead, and c1, c2, ... are as many 64-bit words over distinct
-    shingles, so that a line repeated many times doesn't outweigh the rest of a text.
-    """
-    schema = "doc_id long, fp long" + "".join(f", c{i + 1} long" for i in range(confirm))
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp), one row for each row of docs, fp over shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
-            hashes = [shingle_hashes(t, words) for t in texts]
-            cols = [majority_bits([list(set(content_hashes(t))) for t in texts] if confirm else hashes)]
-            for i in range(confirm):  # another mix of the same hashes
-                k = np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x2545F4914F6CDD1D & (1 << 64) - 1 | 1)
-                mixed = []
-                for h in hashes:
-                    x = np.unique(np.array(h, np.uint64)) * k
-                    x ^= x >> np.uint64(31)
-                    mixed.append((x * np.uint64(0xBF58476D1CE4E5B9)).tolist())
-                cols.append(majority_bits(mixed))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, cols)], names=["doc_id", "fp", *(f"c{i + 1}" for i in range(confirm))])
+            fp = majority_bits([shingle_hashes(t, words) for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def correlated_parts(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -120,7 +97,8 @@ def allocate(sample: np.ndarray, rows: int, distance: int, most_masked: int = 2)
     """(bits, threshold) of the parts that are probed, by dynamic programming on estimated costs.
 
     The cost of a part and threshold: rows shuffled (its probe keys) and pairs compared (those of the sample
-    that agree so far, carried to all rows). The parts' (threshold + 1) sum to distance + 1.
+    that agree so far, or as many as independent bits would give, carried to all rows). The parts' (threshold + 1) sum to
+    distance + 1.
     """
     bits = ((sample[:, None].view(np.uint64) >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
     scale = (rows / max(2, len(sample))) ** 2
@@ -137,7 +115,7 @@ def allocate(sample: np.ndarray, rows: int, distance: int, most_masked: int = 2)
                 if t < len(part):
                     keys = comb(len(part), t)
                     # a pair that differs in s of the part's bits meets under C(w - s, t - s) keys
-                    pairs = sum(int(near[s]) * comb(len(part) - s, t - s) for s in range(t + 1)) + rows and sum(max(int(near[s]), len(b) ** 2 / 2 * comb(len(part), s) / 2.0 ** len(part)) * comb(len(part) - s, t - s) for s in range(t + 1))
+                    pairs = sum(max(int(near[s]), len(b) ** 2 / 2 * comb(len(part), s) / 2.0 ** len(part)) * comb(len(part) - s, t - s) for s in range(t + 1))
                     cost[i, t + 1] = keys * rows + pairs * scale * COMPARED
         # table[i][k]: least cost by which parts 0..i-1 use k of distance + 1
         tablet = [[0.0] + [np.inf] * (distance + 1)]
@@ -171,59 +149,83 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64))
 
 
-def link_groups(distance: int, whole: int | None, confirm: int):
-    """Arrow function over rows sorted by group: the star forest of the links inside each group."""
-    names = ["fp", *(f"c{i + 1}" for i in range(confirm))]
-
-    def linked(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = differing(x[0, i], x[0, j]) <= distance
-        if confirm and ok.any():
-            at = np.flatnonzero(ok)
-            apart = sum(differing(c[i[at]], c[j[at]]).astype(np.int16) for c in x[1:])
-            ok[at] = apart <= whole
-        return ok
-
-    def solve(group: np.ndarray, salts: np.ndarray, x: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """group: run number of each row. salts: columns lo, hi, own."""
-        us, vs, held = [], [], 0
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(group)]]))
-
-        def keep(i: np.ndarray, j: np.ndarray) -> None:
-            nonlocal held
-            ok = linked(x, i, j)
-            if ok.any():
-                us.append(rep[i[ok]])
-                vs.append(rep[j[ok]])
-                held += len(us[-1])
-            if held > 1_000_000:
-                a, b = forest(np.concatenate(us), np.concatenate(vs))
-                us[:], vs[:], held = [a], [b], len(a)
-
-        large = np.flatnonzero(sizes > 48)
-        small = np.repeat((sizes > 1) & (sizes <= 48), sizes)
-        rows = np.flatnonzero(small)
-        end = np.repeat(starts + sizes, sizes)
-        step = 1
-        while len(rows := rows[rows + step < end[rows]]):
-            keep(rows, rows + step)
-            step += 1
-        for k in large:
-            lo, hi, own = salts[:, starts[k] : starts[k] + sizes[k]]
-            at = np.arange(starts[k], starts[k] + sizes[k])
-            left, right = (at, at) if lo[0] == hi[0] else (at[own == lo[0]], at[own == hi[0]])
-            if not len(right):
-                continue
-            block = max(1, 1_000_000 // len(right))
-            for f in range(0, len(left), block):
-                part = left[f : f + block]
-                i, j = np.nonzero(differing(x[0, part][:, None], x[0, right][None]) <= distance)
-                i, j = part[i], right[j]
-                if lo[0] == hi[0]:
-                    i, j = i[j > i], j[j > i]
-                if len(i):
-                    keep(i, j)
-        return forest(np.concatenate(us), np.concatenate(vs)) if us else (rep[:0], rep[:0])
+Strip = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def near_strips(rows: np.ndarray, group: np.ndarray, distance: int) -> Iterator[Strip]:
+    """(i, j, differing bits) of the near pairs of rows in each group, in bounded pieces.
+
+    rows: mask, val, lo, hi, own, rep, fp, ...; group: run number of each row. All near pairs of a row i are in one piece;
+    in a group that isn't dealt out i is the row of the larger rep, in a dealt one the row of block lo.
+    """
+    fp, rep = rows[6], rows[5]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(group)]]))
+    end = np.repeat(starts + sizes, sizes)
+    at, step, found = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 48), sizes)), 1, []
+    while len(at := at[at + step < end[at]]):
+        d = differing(fp[at], fp[at + step])
+        ok = d <= distance
+        i, j = at[ok], at[ok] + step
+        up = rep[i] > rep[j]
+        found.append((np.where(up, i, j), np.where(up, j, i), d[ok]))
+        step += 1
+    if found:
+        yield tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+    for k in np.flatnonzero(sizes > 48):
+        lo, hi, own = rows[2:5, starts[k] : starts[k] + sizes[k]]
+        whole = np.arange(starts[k], starts[k] + sizes[k])
+        left, right = (whole, whole) if lo[0] == hi[0] else (whole[own == lo[0]], whole[own == hi[0]])
+        block = max(1, 1_000_000 // max(1, len(right)))
+        for f in range(0, len(left), block):
+            part = left[f : f + block]
+            d = differing(fp[part][:, None], fp[right][None])
+            ok = d <= distance
+            if lo[0] == hi[0]:
+                ok &= rep[part][:, None] > rep[right][None]
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield part[i], right[j], d[i, j]
+
+
+def star_forest(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs' components as (smallest rep, other rep)."""
+    us, vs, held = [], [], 0
+    for i, j, _ in strips:
+        us.append(rows[5][i])
+        vs.append(rows[5][j])
+        held += len(i)
+        if held > 1_000_000:
+            a, b = forest(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [a], [b], len(a)
+    if us:
+        yield forest(np.concatenate(us), np.concatenate(vs))
+
+
+def nearest_partners(first: int, last: int | None) -> Callable:
+    """Of each row's near pairs in a group those ranked first to last - 1 by distance (ties by a hash, so that no row becomes
+    everyone's partner), and of these the pairs whose labels (the column after fp) differ, as (smaller rep, larger rep)."""
+
+    def solve(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rep, label = rows[5], rows[7]
+        for i, j, d in strips:
+            mixed = (rep[i] ^ rep[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            order = np.lexsort((mixed ^ mixed >> np.uint64(29), d, i))
+            i, j = i[order], j[order]
+            begin = np.concatenate([[True], i[1:] != i[:-1]])
+            rank = np.arange(len(i)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+            ok = (rank >= first) & (label[i] != label[j])
+            if last is not None:
+                ok &= rank < last
+            a, b = rep[i[ok]], rep[j[ok]]
+            if len(a):
+                yield np.minimum(a, b), np.maximum(a, b)
+
+    return solve
+
+
+def over_groups(distance: int, solve: Callable, columns: list[str]):
+    """Arrow function over rows sorted by group, a bounded number of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -236,12 +238,13 @@ def link_groups(distance: int, whole: int | None, confirm: int):
             kept[:] = [] if last else [rows[:, upto:]]
             if upto > 1:
                 now = rows[:, :upto]
-                u, v = solve(group[:upto], now[2:5], now[6:], now[5])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+                for a, b in solve(near_strips(now, group[:upto], distance), now):
+                    for f in range(0, len(a), 500_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(a[f : f + 500_000]), pa.array(b[f : f + 500_000])], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                kept.append(np.stack([np.asarray(batch.column(c)) for c in ("mask", "val", "lo", "hi", "own", "rep", *names)]))
+                kept.append(np.stack([np.asarray(batch.column(c)) for c in columns]))
                 if sum(k.shape[1] for k in kept) >= 200_000:
                     yield from flush(False)
         if kept:
@@ -250,19 +253,20 @@ def link_groups(distance: int, whole: int | None, confirm: int):
     return run
 
 
-def near_links(reps: DataFrame, distance: int, whole: int | None = None, confirm: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) between reps (fp, rep, c1..) within distance, as forests that keep every component whole.
-
-    With confirm, a link's c1, c2, ... also differ in at most whole bits together.
-    """
+def plan_parts(reps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
+    """The parts to probe, by a bounded sample of reps (fp, rep); none if there is no pair."""
     n = reps.count()
-    picked = reps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
-    sample = np.array([r["fp"] for r in picked], np.int64)
     if n < 2:
+        return []
+    picked = reps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
+    return allocate(np.array([r["fp"] for r in picked], np.int64), n, distance)
+
+
+def probed(reps: DataFrame, parts: list[tuple[list[int], int]], distance: int, solve: Callable, extra: list[str], group_rows: int) -> DataFrame:
+    """(a, b) that solve gives for the probe groups of reps (fp, rep, extra...)."""
+    if not parts:
         return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    parts = allocate(sample, n, distance)
     masks = F.array(*(F.lit(m) for m in probe_masks(parts)))
-    extra = [f"c{i + 1}" for i in range(confirm)]
     rows = reps.select("fp", "rep", *extra, F.explode(masks).alias("mask")).withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
     # A masked group joins at most 2^t values of a part, so it is large only if one of those is.
     spread = 2 ** max(t for _, t in parts)
@@ -289,36 +293,24 @@ def near_links(reps: DataFrame, distance: int, whole: int | None = None, confirm
             .select("fp", "rep", *extra, "mask", "val", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         )
     order = ["mask", "val", "lo", "hi"]
-    spread_out = dealt.select(*order, "own", "rep", "fp", *extra).repartition(*order).sortWithinPartitions(*order)
-    return spread_out.mapInArrow(link_groups(distance, whole, confirm), "a long, b long")
+    columns = [*order, "own", "rep", "fp", *extra]
+    spread_out = dealt.select(*columns).repartition(*order).sortWithinPartitions(*order)
+    return spread_out.mapInArrow(over_groups(distance, solve, columns), "a long, b long")
 
 
-def components(docs: DataFrame, words: int = 4, distance: int = 4, confirm: int = 0, whole: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_links(reps: DataFrame, distance: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) between reps (fp, rep) within distance, as forests that keep every component whole."""
+    return probed(reps, plan_parts(reps, distance), distance, star_forest, [], group_rows)
+
+
+def components(docs: DataFrame, words: int = 4, distance: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    extra = [f"c{i + 1}" for i in range(confirm)]
-    prints = cut(fingerprints(docs, words, confirm=confirm))
-    reps = cut(prints.groupBy("fp", *extra).agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    labels = connected_components(near_links(reps, distance, whole, confirm, group_rows))
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", *extra, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, ["fp", *extra], "left").select("doc_id", "fp", "component_id")
+    prints = cut(fingerprints(docs, words))
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    labels = connected_components(near_links(reps, distance, group_rows))
+    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, similarity: tuple[int, int] = (4, 5), words: int = 5) -> DataFrame:
-    """The rows of docs without near copies: of each class, the document of the smallest doc_id.
-
-    Two documents are linked if the Jaccard similarity of their distinct shingles of five words is at least ``similarity`` (a
-    fraction): exactly, see setjoin. Rows without doc_id are kept, and so is every empty or null text's smallest id
-    alone. Of rows that repeat a doc_id one is kept.
-    """
-    from .setjoin import classes
-
-    found = cut(classes(docs.select("doc_id", F.xxhash64("text").alias("version"), "text"), words, similarity))
-    best = found.groupBy("class").agg(F.min("doc_id").alias("best"))
-    kept = without(docs, found.join(best, "class").where("doc_id <> best").select("doc_id").distinct())
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("loomgraph.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from loomgraph.llm import chat, covertree, decontam, langid, licenses, packing, pii, secret_scan, simhash, toxicity  # noqa: E402
+from loomgraph.llm import chat, covertree, decontam, langid, licenses, nearcopies, packing, pii, secret_scan, simhash, toxicity  # noqa: E402
 from loomgraph.llm.common import connected_components  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, score string"
@@ -61,8 +61,7 @@ def test_packing(spark):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tok.encode_special_tokens = True
-    texts = [*ODD, "a  b\n\n c  d\te ", "<|endoftext|> x", *(prose(k, 300) + ".\n" + prose(k + 99, 50) for k in range(20))]
+    texts = [*ODD, "a  b\n\n c  d\te ", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", *(prose(k, 300) + ".\n" + prose(k + 99, 50) for k in range(20))]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     rows = packing.pack(d, with_ids=True).collect()
     seqs = {}
@@ -87,17 +86,18 @@ def test_packing(spark):
 
 def test_windows_are_best():
     rng = random.Random(5)
-    for _ in range(30):
-        at = [0]
+    cost = lambda n, short: min(10 - n, 10 if short is None or n & (n - 1) else short)
+    for turn in range(60):
+        at, short = [0], 2 if turn % 2 else None
         while len(at) < 14:
             at.append(at[-1] + rng.randint(1, 7))
         pen = [rng.choice([0, 1, 3]) for _ in at]
         best = [0] + [10**9] * (len(at) - 1)
         for j in range(1, len(at)):
-            best[j] = min(best[i] + 10 - (at[j] - at[i]) + pen[j] for i in range(j) if at[j] - at[i] <= 10)
-        cuts = [0, *packing.windows(at, pen, 10)]
+            best[j] = min(best[i] + cost(at[j] - at[i], short) + pen[j] for i in range(j) if at[j] - at[i] <= 10)
+        cuts = [0, *packing.windows(at, pen, 10, short=short)]
         assert cuts[-1] == len(at) - 1
-        assert sum(10 - (at[b] - at[a]) + pen[b] for a, b in zip(cuts, cuts[1:], strict=False)) == best[-1]
+        assert sum(cost(at[b] - at[a], short) + pen[b] for a, b in zip(cuts, cuts[1:], strict=False)) == best[-1]
 
 
 def test_pii(spark):
@@ -229,15 +229,12 @@ def test_repeated_lines(spark):
     rows = [(k, prose(k, 300)) for k in range(20)]
     rows += [(100 + k, t + " ".join(["", *[prose(k + 500, 12)] * 10])) for k, t in rows]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.keep_one(d).collect()}
-    assert kept >= set(range(20)) and len(kept) <= 21
+    assert {r["doc_id"] for r in nearcopies.keep_one(d).collect()} == set(range(20))
 
 
 @pytest.mark.parametrize("group", [16_384, 4])
 def test_near_copies_exactly(spark, group):
     """Just those pairs at a Jaccard similarity of 0.8 or more are linked, in whole groups and dealt out."""
-    from loomgraph.llm import setjoin
-
     rng = random.Random(6)
     texts = ["", None, "one", "one", *(prose(k, 40 + 5 * k) for k in range(20))]
     footer = prose(900, 40)  # in many texts
@@ -254,12 +251,42 @@ def test_near_copies_exactly(spark, group):
     for _ in texts:
         label = np.array([label[near[i]].min() for i in range(len(texts))])
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = setjoin.classes(d.select("doc_id", F.xxhash64("text").alias("version"), "text"), 5, (4, 5), group).collect()
+    found = nearcopies.classes(d, distance=24, group_rows=group).collect()
     low = {}
     for r in found:
         low[r["class"]] = min(low.get(r["class"], 10**9), r["doc_id"])
     assert {r["doc_id"]: low[r["class"]] for r in found} == dict(enumerate(label.tolist()))
-    assert sorted(r["doc_id"] for r in simhash.keep_one(d).collect()) == sorted(set(label.tolist()))
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(d, distance=24, group_rows=group).collect()) == sorted(set(label.tolist()))
+
+
+def test_near_copies_of_odd_rows(spark):
+    """Nulls, clashing columns, one doc_id with several texts, repeated rows, no rows."""
+    a, b = prose(1, 200), prose(2, 200)
+    near = " ".join([*a.split()[:-2], "x1", "x2"])
+    rows = [(5, a, "v", "k"), (7, near, "v", "k"), (7, b, "v", "k"), (8, b, "v", "k"), (8, b, "v", "k"), (None, a, "v", "k"), (None, a, "v", "k"), (9, None, "v", "k"), (10, "", "v", "k"), (11, "word " * 40_000, "v", "k")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, version string, key string")
+    got = nearcopies.keep_one(d)
+    assert got.columns == d.columns
+    assert sorted(((r["doc_id"] or 0, (r["text"] or "")[:20]) for r in got.collect())) == sorted([(5, a[:20]), (7, b[:20]), (0, a[:20]), (0, a[:20]), (9, ""), (11, "word word word word "[:20])])
+    assert nearcopies.keep_one(d.limit(0)).count() == 0
+
+
+def test_near_copies_of_a_large_group(spark):
+    """All documents of a group of near copies are one class, by far fewer links than pairs."""
+    base = prose(4, 300).split()
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(300), 3):
+            w[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    label = list(range(300))
+    for _ in range(5):
+        label = [min(label[j] for j in range(300) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in range(300)]
+    assert {r["doc_id"] for r in nearcopies.keep_one(d, group_rows=64).collect()} == set(label)
 
 
 def test_components(spark):
