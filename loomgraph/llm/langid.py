@@ -169,7 +169,7 @@ def classified(text: str, model: dict) -> Column:
             found = [classify(t) for (texts,) in text_chunks([pa.RecordBatch.from_arrays([column], names=["text"])], ("text",)) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "score"])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else the planner may run it once for each use
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

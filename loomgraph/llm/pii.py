@@ -1,14 +1,17 @@
 """Personal data: base expressions, and a character-level bidirectional LSTM with CRF transitions beside them.
 
-The tagger is trained in numpy, from labelled spans (seeded synthetic text by default, any other on request). Every kind of
-span holds a digit or ``@`` - a span without one is refused when windows are reconciled - so overlapping windows are
-laid over all stretches of text near those characters, and nothing else can hold a span. Each window is decoded by Viterbi; a
-character's tag comes from the window in which it lies most centrally, and spans are read off the joined tags of
-the whole text, so one that crosses windows is found once. Spans that the base expressions found stay as they are;
-the tagger's are added where they overlap none and pass the kind's own test.
+The tagger is trained in numpy, from labelled spans (seeded synthetic text by default, any other on request), for what the
+expressions can't read: spelled or bracketed addresses, spaced, defanged or dotted numbers, spelled digits, and numbers that a
+greedy expression swallowed together with their neighbour and then refused. Windows lie on a fixed grid over the whole
+text and overlap; each is decoded by Viterbi, a character's tag comes from the window in which it lies most
+centrally, and spans are read off the joined tags of the whole text, so one that crosses windows is found once. A tagged
+span counts if it passes its kind's own test, and each such test asks for a digit, ``@`` or one of a few words. So a window
+without any of these is left undecoded unless a span of its neighbour reaches into it: the spans are those of all windows
+decoded (a test holds this). Spans that the base expressions found stay as they are; the tagger's are added where they
+overlap none.
 
 Null and empty texts have no spans. Long texts are read whole. Repeated rows give repeated results; other columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import fresh, text_chunks
 
 KINDS = ["email", "ip", "card", "phone"]
-TRIGGER = r"[0-9@]"
-#: Window length and stride, and characters around a digit or @ that windows cover.
-WINDOW, STRIDE, AROUND = 96, 48, 24
+DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+#: What any span needs.
+TRIGGER = r"(?i)[0-9@]|\bdot\b|[(\[](?:at|dot)[)\]]|\b(?:" + "|".join(DIGIT_WORDS) + r")\b"
+#: Window length, and the part in its middle whose tags it gives.
+WINDOW, STRIDE = 128, 80
+MARGIN = (WINDOW - STRIDE) // 2
 
 # ---- base spans -----------------------------------------------------------------------------------------------------
 
@@ -81,53 +87,87 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+AT, DOT = r" ?(?:@|\(at\)|\[at\]| at ) ?", r" ?(?:[.]|\(dot\)|\[dot\]|\[[.]\]| dot ) ?"
+MAIL = re.compile(rf"[A-Za-z0-9%+_-]+(?:{DOT}[A-Za-z0-9%+_-]+)*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}}", re.I)
+ADDRESS = re.compile(rf"[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}", re.I)
+SPELLED = re.compile(r"(?:\b(?:" + "|".join(DIGIT_WORDS) + r")\b[ ,-]*)+", re.I)
+
+
 def plausible(kind: int, s: str) -> bool:
     """The kind's own test for a span of the tagger."""
-    d = digits_of(s)
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@| at |\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.| dot ) ?[A-Za-z0-9-]+)+", s)) and bool(re.search(TRIGGER, s))
+        # a bare " at " is a word like any other unless a dot is spelled out or the like
+        return bool(MAIL.fullmatch(s)) and bool(re.search(r"@|[(\[]|\bdot\b", s, re.I))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?: ?[.] ?[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in re.findall("[0-9]+", s))
+        return bool(ADDRESS.fullmatch(s)) and all(int(p) <= 255 for p in re.findall("[0-9]+", s))
+    if kind == 3 and SPELLED.fullmatch(s):
+        return 7 <= len(re.findall("[A-Za-z]+", s)) <= 15
+    d = digits_of(s)
     if kind == 2:
-        return 12 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", s))
-    return 10 <= len(d) <= 15 and bool(re.fullmatch(r"\(?[0-9][0-9 ().-]+[0-9]", s)) and bool(re.search(r"[ ().-]", s))
+        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](?:[ ./-]{0,2}[0-9])+", s))
+    return 9 <= len(d) <= 15 and bool(re.fullmatch(r"(?:\+|00)? ?\(?[0-9][0-9 ()./-]*[0-9]", s)) and (s[0] == "+" or len(re.findall(r"[0-9]+", s)) >= 3)
 
 
 # ---- labelled spans -------------------------------------------------------------------------------------------------
 
 
-def labelled_sample(n: int = 2_000, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Seeded synthetic texts of about one window with (start, kind, end) spans, and numbers that are none."""
+def labelled_sample(n: int = 2_400, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Seeded synthetic texts of up to a window with (start, kind, end) spans, and numbers and words that are none."""
     rng = random.Random(seed)
     pick, digits = rng.choice, lambda k: "".join(rng.choices("0123456789", k=k))
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéüñ", weights=[8, 2, 3, 4, 12, 2, 2, 6, 7, 1, 1, 4, 2, 7, 8, 2, 1, 6, 6, 9, 3, 1, 2, 1, 2, 1, 1, 1, 1], k=rng.randint(1, 11)))
+    plain = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=[8, 2, 3, 4, 12, 2, 2, 6, 7, 1, 1, 4, 2, 7, 8, 2, 1, 6, 6, 9, 3, 1, 2, 1, 2, 1], k=rng.randint(2, 9)))
 
     def words(k: int) -> str:
-        out = " ".join(word() + pick(["", "", "", "", "", ",", "."]) for _ in range(k))
-        return out.capitalize() if rng.random() < 0.4 else out
+        out = " ".join((pick(["at", "the", "to", "of", "a", "call", "write", "reach", "or"]) if rng.random() < 0.2 else word()) + pick(["", "", "", "", "", ",", "."]) for _ in range(k))
+        return out.upper() if rng.random() < 0.1 else out.capitalize() if rng.random() < 0.4 else out
+
+    def mail() -> str:
+        at = pick(["@", "@", " @ ", " at ", "(at)", " (at) ", "[at]", " [at] "])
+        dot = "." if at in ("@", " @ ") and rng.random() < 0.7 else pick([" dot ", "(dot)", " (dot) ", "[dot]", " [dot] ", ".", " . "])
+        if at == " at " and dot in (".", " . "):
+            dot = " dot "
+        local = pick([plain(), plain() + pick([".", "_", "-"]) + plain() if dot == "." else plain() + digits(2), plain() + digits(2)])
+        out = local + at + plain() + pick(["", digits(1)]) + dot + pick(["com", "org", "net", "de", "example" + dot + "com"])
+        return out.upper() if rng.random() < 0.1 else out
 
     def card() -> str:
         k = rng.randint(13, 16)
         d = digits(k - 1)
         d += str(next(x for x in range(10) if luhn(d + str(x))))
-        return pick([d, " ".join(d[i : i + 4] for i in range(0, k, 4)), "-".join(d[i : i + 4] for i in range(0, k, 4))])
-
-    made = [
-        lambda: f"{word()}{pick(['.', '_', ''])}{pick([word(), digits(2)])}{pick(['@', '@', '@', ' @ '])}{word()}{pick(['', digits(1)])}.{pick(['com', 'org', 'net', 'example.com'])}",
-        lambda: pick([".", ".", ".", " . "]).join(str(rng.randint(0, 255)) for _ in range(4)),
-        card,
-        lambda: pick([lambda: f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"+{digits(11)}"])(),
+        return pick(["", "", " ", "-", ".", "/", "  "]).join(d[i : i + 4] for i in range(0, k, 4))
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        if rng.random() < 0.15:
+            return pick([" ", " ", "-", ", "]).join(rng.choices(DIGIT_WORDS, k=rng.randint(7, 11)))
+        return pick([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{digits(11)}", f"00{rng.randint(11, 99)} {a} {b}{c}", f"+{rng.randint(11, 99)}/{digits(2)}/{digits(7)}"])
+
+    made = [mail, lambda: pick([".", ".", " . ", "[.]", "(dot)", " dot ", "[dot]"]).join(str(rng.randint(0, 255)) for _ in range(4)), card, phone]
+    other = [
+        lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+        lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
+        lambda: digits(rng.randint(1, 8)),
+        lambda: digits(rng.randint(17, 24)),
+        lambda: f"{rng.randint(1, 999)},{digits(3)}.{digits(2)}",
+        lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(12, 40))),
+        lambda: f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}",
+        lambda: f"AKIA{digits(3)}{word().upper()}",
+        lambda: f"@{word()}",
+        lambda: f"{plain()} at {plain()} the {plain()}",
+        lambda: f"{plain()} dot {plain()}",
+        lambda: " ".join(rng.choices(DIGIT_WORDS, k=rng.randint(1, 3))),
     ]
-    other = [lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", lambda: digits(rng.randint(1, 8)), lambda: f"{rng.randint(1, 999)},{digits(3)}.{digits(2)}", lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(12, 40))), lambda: f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}", lambda: f"AKIA{digits(3)}{word().upper()}", lambda: f"@{word()}"]
     out = []
     for _ in range(n):
-        text, spans = words(rng.randint(1, 6)) + pick([" ", " ", "\n", ": "]), []
-        for _ in range(rng.choice([1, 1, 2])):
+        text, spans = words(rng.randint(1, 5)) + pick([" ", " ", "\n", ": "]), []
+        for _ in range(rng.choice([1, 1, 2, 3])):
             kind = rng.randint(0, 5)
             s = made[kind]() if kind < 4 else pick(other)()
             if kind < 4:
                 spans.append((len(text), kind, len(text) + len(s)))
-            text += s + pick([" ", " ", " ", ". ", ", ", "\n"]) + words(rng.randint(1, 4)) + " "
+            # neighbours may touch: a greedy expression swallows both
+            text += s + (" " if rng.random() < 0.25 else pick([" ", " ", " ", ". ", ", ", "\n", "!! "]) + words(rng.randint(1, 3)) + " ")
         out.append((text, spans))
     return out
 
@@ -197,18 +237,21 @@ def lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, lis
 
 def lstm_back(x: np.ndarray, kept: list, wh: np.ndarray, dh_all: np.ndarray, classes_n: int) -> tuple[np.ndarray, np.ndarray]:
     size = wh.shape[0]
-    dwx, dwh = np.zeros((classes_n, 4 * size), np.float32), np.zeros_like(wh)
+    dz_all = np.empty((*x.shape, 4 * size), np.float32)
     dh = np.zeros_like(dh_all[0])
     dc = np.zeros_like(dh)
     for t in reversed(range(len(x))):
         i, f, o, g, before, tc, last = kept[t]
         dh = dh + dh_all[t]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        np.add.at(dwx, x[t], dz)
-        dwh += last.T @ dz
+        dz = dz_all[t]
+        np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1, out=dz)
         dh, dc = dz @ wh.T, dc * f
-    return dwx, dwh
+    flat = dz_all.reshape(-1, 4 * size)
+    one_hot = np.zeros((len(flat), classes_n), np.float32)
+    one_hot[np.arange(len(flat)), x.ravel()] = 1
+    lasts = np.concatenate([k[6] for k in kept])
+    return one_hot.T @ flat, lasts.T @ flat
 
 
 def logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
@@ -240,10 +283,8 @@ def gradient(x: np.ndarray, y: np.ndarray, p: dict) -> tuple[float, dict]:
     for t in range(1, steps):
         gold = gold + tr[y[t - 1], y[t]] + e[t][rows, y[t]]
     de = np.exp(alpha + beta - z[:, None])
-    dtr = np.zeros_like(tr)
-    for t in range(1, steps):
-        dtr += np.exp(alpha[t - 1][:, :, None] + tr + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(0)
-        np.add.at(dtr, (y[t - 1], y[t]), -1)
+    dtr = np.exp(alpha[:-1, :, :, None] + tr + (e[1:] + beta[1:])[:, :, None, :] - z[:, None, None]).sum((0, 1))
+    dtr -= np.bincount((y[:-1] * TAGS + y[1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
     np.put_along_axis(de, y[:, :, None], np.take_along_axis(de, y[:, :, None], 2) - 1, 2)
     de /= batch
     g = {"tr": dtr / batch, "st": de[0].sum(0), "u0": de.sum((0, 1)), "uf": np.tensordot(f, de, ([0, 1], [0, 1])), "ub": np.tensordot(b, de, ([0, 1], [0, 1]))}
@@ -265,7 +306,7 @@ def fixed_windows(sample: list) -> tuple[np.ndarray, np.ndarray]:
     return x.T.copy(), y.T.copy()
 
 
-def train(sample: list, hidden: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.015, seed: int = 3) -> dict:
+def train(sample: list, hidden: int = 20, epochs: int = 6, batch: int = 32, rate: float = 0.02, seed: int = 3) -> dict:
     """Adam over the labelled spans; the same sample and seed give the same weights."""
     rng = np.random.default_rng(seed)
     init = lambda *s: (rng.standard_normal(s) * 0.15).astype(np.float32)
@@ -274,11 +315,13 @@ def train(sample: list, hidden: int = 16, epochs: int = 6, batch: int = 64, rate
         p[k][:, hidden : 2 * hidden] += 1.0  # remember at first
     m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
     x, y = fixed_windows(sample)
+    lengths = np.array([min(len(text) + 4, WINDOW) for text, _ in sample])
     for epoch in range(epochs):
-        order = rng.permutation(x.shape[1])
-        for i in range(0, len(order), batch):
+        order = np.argsort(lengths + rng.integers(0, 16, len(lengths)), kind="stable")  # a batch is as long as its longest text
+        for i in rng.permutation(-(-len(order) // batch)) * batch:
             at = order[i : i + batch]
-            _, g = gradient(x[:, at], y[:, at], p)
+            upto = lengths[at].max()
+            _, g = gradient(x[:upto, at], y[:upto, at], p)
             step += 1
             now = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.05)
             for k, w in p.items():
@@ -317,53 +360,54 @@ def viterbi(e: np.ndarray, p: dict) -> np.ndarray:
     return out
 
 
-def stretches(c: np.ndarray) -> list[tuple[int, int]]:
-    """The parts of a text that windows cover, from its classes."""
-    at = np.flatnonzero((c == len(SINGLE)) | (c == 0))
-    if not len(at):
-        return []
-    first = np.concatenate([[True], np.diff(at) > 2 * AROUND])
-    lows = at[first]
-    highs = at[np.concatenate([first[1:], [True]])]
-    return [(max(0, int(a) - AROUND), min(len(c), int(b) + AROUND + 1)) for a, b in zip(lows, highs, strict=True)]
-
-
-def tagged_spans(texts: list[str], p: dict, batch: int = 1024) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of the tagger in each whole text."""
-    table = class_table()
-    codes = [classes(t, table) for t in texts]
-    places: list[tuple[int, int, int, int]] = []  # text, window start, and the part whose tags it gives
-    tags = [None] * len(texts)
-    for k, c in enumerate(codes):
-        for low, high in stretches(c):
-            tags[k] = np.zeros(len(c), np.int8) if tags[k] is None else tags[k]
-            w, margin = low, (WINDOW - STRIDE) // 2
-            while True:
-                last = w + WINDOW >= high
-                places.append((k, w, w if w == low else w + margin, high if last else w + margin + STRIDE))
-                if last:
-                    break
-                w += STRIDE
+def decoded(codes: list[np.ndarray], places: list[tuple[int, int]], tags: list[np.ndarray], p: dict, batch: int = 1024) -> None:
+    """Sets the tags of the middle of each window (text, number on the grid)."""
     for i in range(0, len(places), batch):
         part = places[i : i + batch]
         x = np.full((WINDOW, len(part)), CLASSES - 1, np.uint8)
-        for j, (k, w, _, _) in enumerate(part):
-            c = codes[k][w : w + WINDOW]
-            x[: len(c), j] = c
+        for j, (k, g) in enumerate(part):
+            low = g * STRIDE - MARGIN
+            c = codes[k][max(low, 0) : low + WINDOW]
+            x[max(-low, 0) : max(-low, 0) + len(c), j] = c
         best = viterbi(emissions(x, p)[0], p)
-        for j, (k, w, a, b) in enumerate(part):
-            tags[k][a:b] = best[a - w : b - w, j]
+        for j, (k, g) in enumerate(part):
+            a, b = g * STRIDE, min((g + 1) * STRIDE, len(codes[k]))
+            tags[k][a:b] = best[MARGIN : MARGIN + b - a, j]
+
+
+def tagged_spans(texts: list[str], p: dict, everywhere: bool = False) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of the tagger in each whole text; everywhere: decode all windows, also those that can't matter."""
+    table = class_table()
+    codes = [classes(t, table) for t in texts]
+    tags = [np.zeros(len(c), np.int8) for c in codes]
+    done: set[tuple[int, int]] = set()
+    if everywhere:
+        now = {(k, g) for k, c in enumerate(codes) for g in range(-(-len(c) // STRIDE))}
+    else:
+        now = {(k, m.start() // STRIDE) for k, t in enumerate(texts) for m in re.finditer(TRIGGER, t)}
+    while now:
+        decoded(codes, sorted(now), tags, p)
+        done |= now
+        reached = set()
+        for k, g in now:  # a span may reach into the window before or after
+            a, b = g * STRIDE, min((g + 1) * STRIDE, len(codes[k]))
+            if a and tags[k][a]:
+                reached.add((k, g - 1))
+            if b < len(codes[k]) and tags[k][b - 1]:
+                reached.add((k, g + 1))
+        now = reached - done
     out = []
     for text, y in zip(texts, tags, strict=True):
         found = []
-        if y is not None:
+        if y.any():
             kind = np.where(y > 0, (y + 1) // 2, 0)
-            begin = np.flatnonzero((kind > 0) & ((y % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind)))
-            for s in begin.tolist():
-                e = s + 1
-                while e < len(y) and kind[e] == kind[s] and y[e] % 2 == 0:
-                    e += 1
-                if plausible(int(kind[s]) - 1, text[s:e]):
+            before = np.concatenate([[0], kind[:-1]])
+            begin = np.flatnonzero((kind > 0) & ((y % 2 == 1) | (before != kind)))
+            # a span ends before the next one begins or where its kind does
+            stop = np.flatnonzero(np.concatenate([((y % 2 == 1) | (before != kind))[1:], [True]])) + 1
+            for s, e in zip(begin.tolist(), stop[np.searchsorted(stop, begin, side="right")].tolist(), strict=True):
+                around = text[max(s - 1, 0) : s] + text[e : e + 1]
+                if plausible(int(kind[s]) - 1, text[s:e]) and not re.search("[A-Za-z0-9]", around):
                     found.append((s, int(kind[s]) - 1, e))
         out.append(found)
     return out
@@ -374,38 +418,41 @@ def find(texts: list[str], p: dict) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, tagged_spans(texts, p), strict=True):
         base = base_spans(text)
-        taken, added = [(s, e) for s, _, e in base], []
-        for s, kind, e in more:
-            if all(e <= a or b <= s for a, b in taken):
-                taken.append((s, e))
-                added.append((s, kind, e))
-        out.append((base, added))
+        taken = np.zeros(len(text) + 1, bool) if more else None
+        if more:
+            for s, _, e in base:
+                taken[s:e] = True
+        out.append((base, [x for x in more if not taken[x[0] : x[2]].any()]))
     return out
 
 
 SPANS = "array<struct<start:int,kind:string,end:int>>"
 
 
-def scan(docs: DataFrame, model: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep..., base, added): spans of each row's text, sorted. Only texts with a digit or @ leave the JVM."""
-    p = trained() if model is None else model
+def spans_of(text: Column, model: dict) -> Column:
+    """(base, added) of a text column, each sorted by start. Only texts that can hold a span leave the JVM."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     @F.arrow_udf(f"struct<base:{SPANS},added:{SPANS}>")
-    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shown = lambda spans: [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans]
         for column in batches:
             found: list[tuple[list, list]] = []
             for (texts,) in text_chunks([pa.RecordBatch.from_arrays([column], names=["text"])], ("text",)):
                 held = [k for k, t in enumerate(texts) if t]
                 part: list[tuple[list, list]] = [([], [])] * len(texts)
-                for k, f in zip(held, find([texts[k] for k in held], p), strict=True):
+                for k, f in zip(held, find([texts[k] for k in held], model), strict=True):
                     part[k] = f
                 found += part
             yield pa.StructArray.from_arrays([pa.array([shown(f[k]) for f in found], kind) for k in (0, 1)], names=["base", "added"])
 
-    out = docs.withColumn("_found", spans(F.when(F.col("text").rlike(TRIGGER), F.col("text"))))
-    return out.select("doc_id", *keep, F.col("_found.base").alias("base"), F.col("_found.added").alias("added"))
+    return run.asNondeterministic()(F.when(text.rlike(TRIGGER), text))  # else the planner may run it once for each use
+
+
+def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
+    """(doc_id, base, added): spans of each row's text, sorted."""
+    out = docs.select("doc_id", spans_of(F.col("text"), trained() if model is None else model).alias("found"))
+    return out.select("doc_id", "found.base", "found.added")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -418,18 +465,18 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """docs with each span's text replaced by its kind in brackets; n_chars follows where there is such a column."""
-    columns = docs.columns
-    found = scan(docs, model, tuple(c for c in columns if c != "doc_id"))
-    spans = F.array_sort(F.concat("base", "added"))
+    columns, found = docs.columns, fresh(docs, "found")
+    out = docs.withColumn(found, spans_of(F.col("text"), trained() if model is None else model))
+    spans = F.array_sort(F.concat(f"{found}.base", f"{found}.added"))
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a, s):
         gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["out"]).alias("out"))
+        fresh_one = s["start"] >= a["at"]
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh_one, F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["out"]).alias("out"))
 
     text = F.aggregate(spans, empty, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    out = found.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
