@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import itertools
 import sys
+import threading
 import types
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ LAST_WINDOWS = 3
 RUN_IDS = 1_500_000
 #: Words whose ids a worker keeps, at most.
 KEPT_WORDS = 800_000
+#: Seconds that a worker keeps them after a task, for the next one.
+KEPT_SECONDS = 4.0
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -160,12 +164,33 @@ class Words:
         return [self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".!?\n"]
 
 
-def kept_words(path: str) -> Words:
-    """This worker's memory of words, which outlives a task."""
+@contextmanager
+def kept_words(path: str) -> Iterator[Words]:
+    """This worker's memory of words, which outlives a task, and goes when no task has used it for some seconds."""
     state = sys.modules.setdefault("_loomgraph_state", types.ModuleType("_loomgraph_state"))
-    if getattr(state, "path", None) != path:
-        state.words, state.path = Words(path), path
-    return state.words
+    if not hasattr(state, "lock"):
+        state.lock, state.uses, state.timer, state.path = threading.Lock(), 0, None, None
+
+    def release() -> None:
+        with state.lock:
+            if not state.uses:
+                state.words, state.path = None, None
+
+    with state.lock:
+        state.uses += 1
+        if state.timer:
+            state.timer.cancel()
+        if state.path != path:
+            state.words, state.path = Words(path), path
+        words = state.words
+    try:
+        yield words
+    finally:
+        with state.lock:
+            state.uses -= 1
+            state.timer = threading.Timer(KEPT_SECONDS, release)
+            state.timer.daemon = True
+            state.timer.start()
 
 
 def windows(at: list[int], penalty: list[int], limit: int = LIMIT, last: bool = True, short: int | None = None) -> list[int]:
@@ -243,7 +268,10 @@ def pack(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = None, with
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept_words(tokenizer)
+        with kept_words(tokenizer) as words:
+            yield from packed(batches, words)
+
+    def packed(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
         # what is still open: (doc_id, ids before, all ids) of each document, with the ids and sentence ends
         open_docs: list[tuple[int | None, int, int, int]] = []  # doc_id, start, left, doc_tokens
@@ -288,7 +316,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = None, with
             rest[:], rest_stops[:] = [ids[done:]], [stops[done:]]
             held = len(ids) - done
 
-        for doc_ids, texts in text_chunks(batches):
+        for doc_ids, texts in text_chunks(batches, most=2_000_000):
             flat, sizes, stops = words.ids([t or "" for t in texts])
             ends = np.cumsum(sizes)
             flat, stops = np.insert(flat, ends, END_ID), np.insert(stops, ends, False)

@@ -1,11 +1,10 @@
 """Personal data: base expressions, and a character-level bidirectional LSTM with CRF transitions beside them.
 
 The tagger is trained in numpy, from labelled spans (seeded synthetic text by default, any other on request), for what the
-expressions can't read: spelled or bracketed addresses, spaced, defanged or dotted numbers, spelled digits, and numbers that a
-greedy expression swallowed together with their neighbour and then refused. Windows lie on a fixed grid over the whole
+expressions can't read: spelled or bracketed addresses, spaced, defanged or dotted numbers, and numbers that a greedy expression swallowed together with their neighbour and then refused. Windows lie on a fixed grid over the whole
 text and overlap; each is decoded by Viterbi, a character's tag comes from the window in which it lies most
 centrally, and spans are read off the joined tags of the whole text, so one that crosses windows is found once. A tagged
-span counts if it passes its kind's own test, and each such test asks for a digit, ``@`` or one of a few words. So a window
+span counts if it passes its kind's own test, and each such test asks for a digit, ``@`` or the word dot. So a window
 without any of these is left undecoded unless a span of its neighbour reaches into it: the spans are those of all windows
 decoded (a test holds this). Spans that the base expressions found stay as they are; the tagger's are added where they
 overlap none.
@@ -28,9 +27,8 @@ from pyspark.sql import functions as F
 from .common import fresh, text_chunks
 
 KINDS = ["email", "ip", "card", "phone"]
-DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 #: What any span needs.
-TRIGGER = r"(?i)[0-9@]|\bdot\b|[(\[](?:at|dot)[)\]]|\b(?:" + "|".join(DIGIT_WORDS) + r")\b"
+TRIGGER = r"(?i)[0-9@]|\bdot\b"
 #: Window length, and the part in its middle whose tags it gives.
 WINDOW, STRIDE = 128, 80
 MARGIN = (WINDOW - STRIDE) // 2
@@ -90,18 +88,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 AT, DOT = r" ?(?:@|\(at\)|\[at\]| at ) ?", r" ?(?:[.]|\(dot\)|\[dot\]|\[[.]\]| dot ) ?"
 MAIL = re.compile(rf"[A-Za-z0-9%+_-]+(?:{DOT}[A-Za-z0-9%+_-]+)*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}}", re.I)
 ADDRESS = re.compile(rf"[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}", re.I)
-SPELLED = re.compile(r"(?:\b(?:" + "|".join(DIGIT_WORDS) + r")\b[ ,-]*)+", re.I)
 
 
 def plausible(kind: int, s: str) -> bool:
     """The kind's own test for a span of the tagger."""
     if kind == 0:
-        # a bare " at " is a word like any other unless a dot is spelled out or the like
-        return bool(MAIL.fullmatch(s)) and bool(re.search(r"@|[(\[]|\bdot\b", s, re.I))
+        # without an @ or digits a dot must be spelled: " at " and "[at]" alone are words like others
+        return bool(MAIL.fullmatch(s)) and bool(re.search(TRIGGER, s))
     if kind == 1:
         return bool(ADDRESS.fullmatch(s)) and all(int(p) <= 255 for p in re.findall("[0-9]+", s))
-    if kind == 3 and SPELLED.fullmatch(s):
-        return 7 <= len(re.findall("[A-Za-z]+", s)) <= 15
     d = digits_of(s)
     if kind == 2:
         return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](?:[ ./-]{0,2}[0-9])+", s))
@@ -125,7 +120,7 @@ def labelled_sample(n: int = 3_000, seed: int = 7) -> list[tuple[str, list[tuple
     def mail() -> str:
         at = pick(["@", "@", " @ ", " at ", "(at)", " (at) ", "[at]", " [at] "])
         dot = "." if at in ("@", " @ ") and rng.random() < 0.7 else pick([" dot ", "(dot)", " (dot) ", "[dot]", " [dot] ", ".", " . "])
-        if at == " at " and dot in (".", " . "):
+        if "@" not in at and dot in (".", " . "):
             dot = " dot "
         local = pick([plain(), plain() + pick([".", "_", "-"]) + plain() if dot == "." else plain() + digits(2), plain() + digits(2)])
         out = local + at + plain() + pick(["", digits(1)]) + dot + pick(["com", "org", "net", "de", "example" + dot + "com"])
@@ -139,8 +134,6 @@ def labelled_sample(n: int = 3_000, seed: int = 7) -> list[tuple[str, list[tuple
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        if rng.random() < 0.15:
-            return pick([" ", " ", "-", ", "]).join(rng.choices(DIGIT_WORDS, k=rng.randint(7, 11)))
         return pick([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{digits(11)}", f"00{rng.randint(11, 99)} {a} {b}{c}", f"+{rng.randint(11, 99)}/{digits(2)}/{digits(7)}"])
 
     made = [mail, lambda: pick([".", ".", " . ", "[.]", "(dot)", " dot ", "[dot]"]).join(str(rng.randint(0, 255)) for _ in range(4)), card, phone]
@@ -156,7 +149,6 @@ def labelled_sample(n: int = 3_000, seed: int = 7) -> list[tuple[str, list[tuple
         lambda: f"@{word()}",
         lambda: f"{plain()} at {plain()} the {plain()}",
         lambda: f"{plain()} dot {plain()}",
-        lambda: " ".join(rng.choices(DIGIT_WORDS, k=rng.randint(1, 3))),
     ]
     out = []
     for _ in range(n):
@@ -446,7 +438,7 @@ def spans_of(text: Column, model: dict) -> Column:
                 found += part
             yield pa.StructArray.from_arrays([pa.array([shown(f[k]) for f in found], kind) for k in (0, 1)], names=["base", "added"])
 
-    return run.asNondeterministic()(F.when(text.rlike(TRIGGER), text))  # else the planner may run it once for each use
+    return run.asNondeterministic()(F.when(text.rlike("[0-9@]") | F.contains(F.lower(text), F.lit("dot")), text))  # else the planner may run it once for each use
 
 
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
