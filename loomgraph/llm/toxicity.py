@@ -29,7 +29,7 @@ from .common import held_out, text_chunks
 
 #: Labelled rows of each label, and other rows, that are sampled.
 SAMPLE, MORE = 1_500, 6_000
-#: Voters at most, toxic rows in which one must vote, and how much more often it does so than in others, as a logarithm.
+#: Voters at most, toxic rows in which one must vote, and how much more often it does so than in others, as a logarithm (1 more for beginnings of words).
 VOTERS, LEAST, ODDS = 600, 5, 4.0
 #: How sure a voter must be that goes with the label: the logarithm of how unlikely its counts are by chance.
 SURE = 13.0
@@ -95,7 +95,7 @@ def choose_voters(rows: DataFrame, most: int = VOTERS) -> dict[str, float]:
     part = n[1] / (n[1] + n.get(0, 0))
     of = lambda x, q: F.when(x > 0, x * F.log(x / ((F.col("on") + F.col("off")) * max(q, 1e-9)))).otherwise(0.0)
     sure = of(F.col("on"), part) + of(F.col("off"), 1 - part)
-    best = counts.where(F.col("on") >= LEAST).withColumn("odds", odds).where((F.col("odds") > ODDS) & (sure > SURE)).orderBy(F.desc(F.col("odds") * F.sqrt("on")), "feature").limit(most - len(given))
+    best = counts.where(F.col("on") >= LEAST).withColumn("odds", odds).where((F.col("odds") > ODDS + F.col("feature").rlike("^[0-9]").cast("int")) & (sure > SURE)).orderBy(F.desc(F.col("odds") * F.sqrt("on")), "feature").limit(most - len(given))
     known = {r["feature"]: (r["on"] + BELIEF) / (r["on"] + r["off"] + 1) for r in best.select("feature", "on", "off").collect()}
     return given | {f: min(x, 0.95) for f, x in known.items()}
 
