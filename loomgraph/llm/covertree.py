@@ -2,9 +2,10 @@
 
 Vectors are normalised, equal ones become one row with a count. Cosine >= c is a distance <= sqrt(2 - 2c) between unit
 vectors. The top of the tree is a cover of a bounded sample; every vector joins its nearest centre, and large cells
-are dealt to blocks of a bounded size. Inside a block nested levels with halving radii are built (a level's centres are
-also centres of the next one; each is within the level's radius of its parent), and each node has its actual covering
-radius. Pairs of blocks, then pairs of nodes level by level, are dropped if their centres are further apart than both
+are dealt to blocks of a bounded size. Inside a block nested levels with halving radii are built from the top: a node's members
+are compared to its centres only, a level's centres are also centres of the next one, each is within the level's radius
+of its parent, and each node has its actual covering radius. A level on which hardly any two vectors of a sample share a ball
+is left to single vectors without comparing them. Pairs of blocks, then pairs of nodes level by level, are dropped if their centres are further apart than both
 radii and the threshold distance; if even the farthest members are within it, all their pairs are counted at once; what is
 left at the last level is compared in double precision. A task gives link counts a vector and a forest of its
 links, so its output is linear in its input, and components follow from the forests.
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, forest
 
-#: Vectors in a block; vectors sampled for the top cover.
-BLOCK, SAMPLE = 4_096, 2_048
+#: Vectors in a block; vectors sampled for the top cover, and for whether a level of a block is worth building.
+BLOCK, SAMPLE, TRIED = 8_192, 2_048, 512
+#: Rows of block pairs up to which they are broadcast (12 bytes each).
+BROADCAST_ROWS = 500_000
 #: Radii of the nested levels.
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Width of the band around a bound in which single vectors decide.
@@ -55,32 +58,61 @@ def greedy_cover(x: np.ndarray, most: int) -> np.ndarray:
     return x[centres]
 
 
+def net(x: np.ndarray, radius: float, first: np.ndarray) -> np.ndarray:
+    """Places of centres, those of first among them, such that each vector is within radius of one: vectors are taken in
+    portions, compared to the centres so far, and those that none covers decide among themselves."""
+    near = 1 - radius * radius / 2
+    centres = first.tolist()
+    for f in range(0, len(x), 256):
+        part = np.arange(f, min(f + 256, len(x)))
+        if centres:
+            part = part[~((x[part] @ x[centres].T) >= near).any(1)]
+        if len(part):
+            inner = x[part] @ x[part].T >= near
+            covered = np.zeros(len(part), bool)
+            for i in range(len(part)):
+                if not covered[i]:
+                    centres.append(int(part[i]))
+                    covered |= inner[i]
+    return np.array(centres, np.int64)
+
+
 def nested_levels(x: np.ndarray) -> np.ndarray:
-    """(levels, n): the place of each vector's centre on each level, a tree: equal on a level means equal above."""
+    """(levels, n): the place of each vector's centre on each level, a tree: equal on a level means equal above.
+
+    Each node is split by a net of its own members, so the work of a level is members times centres of their node. Where a
+    net of a sample has nearly as many centres as the sample has vectors, the level is the vectors themselves.
+    """
     n = len(x)
     low = x.astype(np.float32)
-    gram = low @ low.T
     out = np.empty((len(RADII), n), np.int64)
-    centre = np.zeros(0, np.int64)  # centres so far; they stay centres below
+    groups = [np.arange(n)]  # members of the nodes of the level above, the centre first
     for k, radius in enumerate(RADII):
-        near = gram >= 1 - radius * radius / 2
-        covered = near[centre].any(0) if len(centre) else np.zeros(n, bool)
-        chosen = centre.tolist()
-        for i in range(n):
-            if not covered[i]:
-                chosen.append(i)
-                covered |= near[i]
-        centre = np.array(chosen)
-        if k == 0:
-            out[k] = centre[gram[:, centre].argmax(1)]
-        else:  # nearest centre with the same parent, so that the levels are nested; a vector without one is its own
-            up = out[k - 1]
-            for p in np.unique(up):
-                members = np.flatnonzero(up == p)
-                own = centre[up[centre] == p]
-                near_own = gram[np.ix_(members, own)] if len(own) else np.zeros((len(members), 0), np.float32)
-                best = near_own.argmax(1) if len(own) else np.zeros(len(members), np.int64)
-                out[k, members] = np.where(near_own.max(1, initial=-2) >= 1 - radius * radius / 2, own[best] if len(own) else members, members)
+        new: list[np.ndarray] = []
+        for members in groups:
+            if len(members) == 1:
+                out[k, members] = members
+                new.append(members)
+                continue
+            part = low[members]
+            tried = part[:: max(1, len(members) // TRIED)][:TRIED]
+            if len(members) > TRIED and len(net(tried, radius, np.zeros(0, np.int64))) > 0.95 * len(tried):
+                out[k, members] = members  # every vector for itself
+                new += [members[i : i + 1] for i in range(len(members))]
+                continue
+            centres = net(part, radius, np.zeros(1, np.int64))
+            best = np.empty(len(members), np.int64)
+            for f in range(0, len(members), 4096):
+                best[f : f + 4096] = (part[f : f + 4096] @ part[centres].T).argmax(1)
+            best[centres] = np.arange(len(centres))
+            out[k, members] = members[centres[best]]
+            order = np.argsort(best, kind="stable")
+            cuts = np.searchsorted(best[order], np.arange(len(centres) + 1))
+            for c in range(len(centres)):
+                own = members[order[cuts[c] : cuts[c + 1]]]
+                centre = members[centres[c]]
+                new.append(np.concatenate([[centre], own[own != centre]]))
+        groups = new
     return out
 
 
@@ -291,21 +323,28 @@ def linked(reps: DataFrame, item: str, cosine: float, block: int) -> DataFrame:
 
     cells = cut(reps.select("x", "rep", "n", "dim").mapInArrow(assign, f"x array<{item}>, rep long, n long, dim int, cell int, away double"))
     stats = cells.groupBy("dim", "cell").agg(F.count("*").alias("k"), F.max("away").alias("radius")).orderBy("dim", "cell").collect()
-    blocks, first = [], {}
-    for r in stats:  # a cell of many vectors is several blocks of about equal size
-        first[r["dim"], r["cell"]] = (len(blocks), -(-r["k"] // block))
-        blocks += [(r["dim"], r["cell"], r["radius"])] * (-(-r["k"] // block))
-    pairs = []
-    for i, (dim, c, ri) in enumerate(blocks):
-        for j in range(i, len(blocks)):
-            dim2, c2, rj = blocks[j]
-            if dim == dim2 and (c == c2 or np.linalg.norm(centres[dim][c] - centres[dim][c2]) <= ri + rj + eps + SLACK):
-                pairs.append((i, j))
     spark = reps.sparkSession
-    if not pairs:
+    if not stats:
         return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), "n").limit(0)
+    # cells are at most as many as the cover has centres; which of them meet is told from their radii
+    first, cells_met, at = {}, [], 0
+    for dim, c in centres.items():
+        own = [r for r in stats if r["dim"] == dim]
+        ids, radius = np.array([r["cell"] for r in own]), np.array([r["radius"] for r in own])
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (c[ids] @ c[ids].T)))
+        for i, j in zip(*np.nonzero(np.triu(apart <= radius[:, None] + radius[None] + eps + SLACK)), strict=True):
+            cells_met.append((dim, int(ids[i]), int(ids[j])))
+        cells_met += [(dim, int(i), int(i)) for k, i in enumerate(ids) if apart[k, k] > 2 * radius[k] + eps + SLACK]
+        for r in own:  # a cell of many vectors is several blocks of about equal size
+            first[dim, r["cell"]] = (at, -(-r["k"] // block))
+            at += -(-r["k"] // block)
     where = spark.createDataFrame([(d, c, f, k) for (d, c), (f, k) in first.items()], "dim int, cell int, first int, blocks int")
     dealt = cells.join(F.broadcast(where), ["dim", "cell"]).select("x", "rep", "n", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int").alias("block"))
+    # the blocks of cells that meet, paired by the executors
+    side = lambda c: where.select("dim", F.col("cell").alias(c), F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias(f"block_{c}"))
+    met = spark.createDataFrame(cells_met, "dim int, c int, d int").join(side("c"), ["dim", "c"]).join(side("d"), ["dim", "d"])
+    low, high = F.least("block_c", "block_d"), F.greatest("block_c", "block_d")
+    pairs = met.select(low.alias("low"), high.alias("high")).distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds each vector's centre on each level, as the rep of that centre."""
@@ -315,7 +354,10 @@ def linked(reps: DataFrame, item: str, cosine: float, block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("block", "rep", "n", "x")), pa.array(list(levels.T), pa.list_(pa.int64()))], names=["block", "rep", "n", "x", "levels"])
 
     trees = cut(dealt.select("block", "rep", "n", "x").repartition("block").sortWithinPartitions("block").mapInArrow(build, f"block int, rep long, n long, x array<{item}>, levels array<long>"))
-    partners = spark.createDataFrame([(i, p) for p, (i, j) in enumerate(pairs) for i in {i, j}], "block int, pair int")
+    pair = F.col("low").cast("long") * F.lit(1 << 31) + F.col("high")
+    partners = cut(pairs.select(pair.alias("pair"), F.explode(F.array_distinct(F.array("low", "high"))).alias("block")))
+    if partners.count() <= BROADCAST_ROWS:
+        partners = F.broadcast(partners)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["pair"]):
@@ -335,5 +377,5 @@ def linked(reps: DataFrame, item: str, cosine: float, block: int) -> DataFrame:
             ids, k = ids[k > 0], k[k > 0]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, ids])), pa.array([*v.tolist(), *[None] * len(ids)], pa.int64()), pa.array([*[None] * len(u), *k.tolist()], pa.int64())], names=["a", "b", "n"])
 
-    told = trees.join(F.broadcast(partners), "block").repartition("pair").sortWithinPartitions("pair", "block")
+    told = trees.join(partners, "block").repartition("pair").sortWithinPartitions("pair", "block")
     return cut(told.select("pair", "block", "rep", "n", "x", "levels").mapInArrow(compare, "a long, b long, n long"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import give_back, text_chunks
 
 LIMIT = 2048
 #: Penalties in ids of padding: cuts, and a short sequence whose length is a power of two.
@@ -43,7 +43,7 @@ LAST_WINDOWS = 3
 #: Ids of the run that one programme covers, at least.
 RUN_IDS = 1_500_000
 #: Words whose ids a worker keeps, at most.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 #: Seconds that a worker keeps them after a task, for the next one.
 KEPT_SECONDS = 4.0
 END_ID = 1
@@ -175,6 +175,7 @@ def kept_words(path: str) -> Iterator[Words]:
         with state.lock:
             if not state.uses:
                 state.words, state.path = None, None
+                give_back()
 
     with state.lock:
         state.uses += 1
@@ -316,7 +317,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = None, with
             rest[:], rest_stops[:] = [ids[done:]], [stops[done:]]
             held = len(ids) - done
 
-        for doc_ids, texts in text_chunks(batches, most=2_000_000):
+        for doc_ids, texts in text_chunks(batches):
             flat, sizes, stops = words.ids([t or "" for t in texts])
             ends = np.cumsum(sizes)
             flat, stops = np.insert(flat, ends, END_ID), np.insert(stops, ends, False)

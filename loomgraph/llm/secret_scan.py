@@ -5,6 +5,10 @@ The index has a posting (gram, doc_id) for each such trigram of each document; i
 the candidates of each rule, and the expression itself verifies them. Rules without a mandatory trigram scan
 every text. Candidates are broadcast behind a checked bound, else joined by doc_id.
 
+An index can be written once (``write_index``, with the trigrams of any rules to come, or all) and serves any number of scans, of
+which each reads the postings of its own trigrams only: files are partitioned by the trigram. Without one a scan makes
+the postings it needs and cuts them in the shared folder.
+
 Null texts count as empty: no spans. A row without doc_id is a candidate of every rule. Rows that repeat a doc_id
 share their candidates, and each is verified on its own text. Other columns are ignored.
 """
@@ -16,7 +20,7 @@ from dataclasses import dataclass
 from re import _constants as sre  # type: ignore[attr-defined]
 from re import _parser  # type: ignore[attr-defined]
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -142,9 +146,29 @@ def holds(query: Query, has) -> Column:
     return out
 
 
+def grams_for(rules: list[Rule]) -> list[str]:
+    """The trigrams that the rules' queries ask for."""
+    return sorted(set().union(*(grams_of(trigram_query(r.pattern)) for r in rules)))
+
+
+def write_index(docs: DataFrame, path: str, rules: list[Rule] = RULES, buckets: int = 64) -> None:
+    """Writes the inverted index of the rules' trigrams, in folders by a hash of the trigram and sorted by it, so that a scan reads
+    few of them and file statistics skip the rest."""
+    index = postings(docs, rules).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    index.repartition("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, rules: list[Rule], buckets: int = 64) -> DataFrame:
+    """The postings of the rules' trigrams; other folders aren't read."""
+    grams = grams_for(rules)
+    wanted = F.array(*(F.pmod(F.xxhash64(F.lit(g)), F.lit(buckets)).cast("int") for g in grams))
+    numbers = sorted(set(spark.range(1).select(wanted).first()[0]))
+    return spark.read.parquet(path).where(F.col("bucket").isin(numbers) & F.col("gram").isin(grams)).select("gram", "doc_id")
+
+
 def postings(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The inverted index (gram, doc_id), of the trigrams that the rules ask for, in lower case."""
-    grams = sorted(set().union(*(grams_of(trigram_query(r.pattern)) for r in rules)))
+    grams = grams_for(rules)
     low = docs.where("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("low"))
     present = F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams))
     return low.select("doc_id", F.explode(F.array_compact(present)).alias("gram"))
@@ -200,13 +224,14 @@ def fewest(rule: Rule) -> str:
     return r"[0-9a-f]{24}" if rule.kind == "hex" else rule.java
 
 
-def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(doc_id, spans): the spans of all rules in each row's text, by start and then the rules' order."""
+def scan(docs: DataFrame, rules: list[Rule] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, spans): the spans of all rules in each row's text, by start and then the rules' order. index: the postings of docs,
+    as read_index gives them; made for this scan if there are none."""
     indexed = [k for k, r in enumerate(rules) if trigram_query(r.pattern) is not True]
     own = [rules[k] for k in indexed]
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if own:
-        found = cut(candidates(postings(docs, own), own)).withColumnRenamed("doc_id", "of_doc")
+        found = cut(candidates(postings(docs, own) if index is None else index, own)).withColumnRenamed("doc_id", "of_doc")
         if found.count() <= BROADCAST_ROWS:
             found = F.broadcast(found)
         docs = docs.join(found, F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc")
