@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..lineage import cut
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,45 +45,98 @@ def wrong_sources(nodes: DataFrame, edges: DataFrame, kind: str = "OBLIGATES", l
     return edges.where(F.col("type") == kind).join(ends, "source_id").where(~F.col("source_label").isin(labels)).select("id", "source_id", "source_label")
 
 
-def cycles(edges: DataFrame, kind: str = "DEPENDS_ON") -> DataFrame:
-    """(start, length) of cycles of distinct nodes, named by their smallest node.
+def trimmed(e: DataFrame) -> DataFrame:
+    """The edges (s, t) without those that can't lie on a cycle: nothing is left that a walk leaves for good at once.
 
-    First what can't lie on a cycle is peeled off (nodes without a way in or out, until none is left), then trails are
-    followed from each left node until no trail is left.
+    A node whose only way on (or back) leads by single ways to an end goes together with its whole chain: pointers double, so
+    a chain costs the logarithm of its length in rounds.
     """
-    e = edges.where(F.col("type") == kind).select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct()
-    n = -1
-    while True:  # each round drops the ends of chains; long chains shrink by pointer-free halving of both ends
-        e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
-        e = checkpointed(e)
-        left = e.count()
-        if left == n or left == 0:
-            break
-        n = left
+    left = -1
+    while True:
+        n = e.count()
+        if n in (0, left):
+            return e
+        left = n
+        for s, t in (("s", "t"), ("t", "s")):
+            single = e.groupBy(s).agg(F.count("*").alias("k"), F.min(t).alias("next")).where("k = 1").select(F.col(s).alias("u"), "next")
+            ptr, done = cut(single), -1
+            while True:
+                on = ptr.select(F.col("u").alias("next"), F.col("next").alias("far"))
+                ptr = cut(ptr.join(on, "next", "left").select("u", F.coalesce("far", "next").alias("next"), F.col("far").isNull().alias("out")))
+                out = ptr.where("out").count()
+                if out == done:
+                    break
+                done = out
+                ptr = ptr.select("u", "next")
+            ends = e.select(F.col(t).alias("u")).distinct().join(e.select(F.col(s).alias("u")).distinct(), "u", "left_anti")
+            chains = ptr.where("out").join(ends.withColumnRenamed("u", "next"), "next", "left_semi").select("u")
+            gone = cut(ends.unionAll(chains))
+            e = cut(e.join(gone.withColumnRenamed("u", t), t, "left_anti").join(gone.withColumnRenamed("u", s), s, "left_anti").select("s", "t"))
+
+
+def cycle_nodes(edges: DataFrame, kind: str = "DEPENDS_ON") -> DataFrame:
+    """(node, component): the nodes on cycles of any length, by strongly connected component, which has its smallest node's name.
+
+    After trimming, the largest node that reaches a node is its colour; what reaches its colour's node back inside the colour is a
+    component. Components go, and the rest is trimmed again.
+    """
+    e = trimmed(cut(edges.where(F.col("type") == kind).select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).where("s is not null and t is not null").distinct()))
+    found = None
+    while not e.isEmpty():
+        ids = e.select(F.col("s").alias("v")).union(e.select(F.col("t").alias("v"))).distinct()
+        colour, before = cut(ids.withColumn("c", F.col("v"))), None
+        while True:
+            sums = colour.agg(F.bit_xor(F.xxhash64("v", "c"))).first()[0]
+            if sums == before:
+                break
+            before = sums
+            come = e.join(colour.select(F.col("v").alias("s"), "c"), "s").select(F.col("t").alias("v"), "c")
+            colour = cut(colour.unionAll(come).groupBy("v").agg(F.max("c").alias("c")))
+        of = lambda x: colour.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"))
+        inner = cut(e.join(of("s"), "s").join(of("t"), "t").where("cs = ct").select("s", "t", F.col("cs").alias("c")))
+        back = front = colour.where("v = c")
+        while not front.isEmpty():
+            new = inner.join(front.select(F.col("v").alias("t"), "c"), ["t", "c"]).select(F.col("s").alias("v"), "c").distinct()
+            front = cut(new.join(back.select("v"), "v", "left_anti").select("v", "c"))
+            back = cut(back.unionByName(front))
+        part = inner.join(back.select(F.col("v").alias("s")), "s", "left_semi").join(back.select(F.col("v").alias("t")), "t", "left_semi")
+        on = cut(back.join(part.select(F.col("s").alias("v")).distinct(), "v", "left_semi"))  # a lone node without a loop is on none
+        found = on if found is None else found.unionByName(on)
+        gone = back.select("v")
+        e = trimmed(cut(e.join(gone.withColumnRenamed("v", "s"), "s", "left_anti").join(gone.withColumnRenamed("v", "t"), "t", "left_anti").select("s", "t")))
+    if found is None:
+        return edges.select(F.col("source_id").alias("node"), F.col("source_id").alias("component")).limit(0)
+    names = found.groupBy("c").agg(F.min("v").alias("component"))
+    return found.join(names, "c").select(F.col("v").alias("node"), "component")
+
+
+def cycles(edges: DataFrame, kind: str = "DEPENDS_ON") -> DataFrame:
+    """(start, length) of the cycles of distinct nodes, named by their smallest node; there can be exponentially many."""
+    e = trimmed(cut(edges.where(F.col("type") == kind).select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct()))
     trails = e.select(F.col("s").alias("start"), F.col("t").alias("at"), F.array("s", "t").alias("seen"))
     found, length = trails.where("start = at").select("start", F.lit(1).alias("length")), 1
     trails = trails.where("start < at")
     while True:
         length += 1
         step = trails.join(e, trails["at"] == e["s"]).where((F.col("t") == F.col("start")) | ((F.col("t") > F.col("start")) & ~F.array_contains("seen", F.col("t"))))
-        step = checkpointed(step.select("start", F.col("t").alias("at"), F.concat("seen", F.array("t")).alias("seen")))
+        step = cut(step.select("start", F.col("t").alias("at"), F.concat("seen", F.array("t")).alias("seen")))
         if step.isEmpty():
             break
         found = found.unionAll(step.where("start = at").select("start", F.lit(length).alias("length")))
         if length % 20 == 0:  # the plan stays short however long the trails
-            found = checkpointed(found.coalesce(8))
+            found = cut(found.coalesce(8))
         trails = step.where("start <> at")
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder that the session names."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
-    return df.checkpoint()
+def wrong_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, side, label): edges whose end has a label that the schema doesn't allow there, for all types: the extended check."""
+    rules = [(kind, side, label) for kind, ends in vocab.EDGE_ENDS.items() for side, labels in zip(("source", "target"), ends, strict=True) for label in labels.split()]
+    allowed = F.broadcast(edges.sparkSession.createDataFrame(rules, "type string, side string, label string"))
+    known = edges.where(F.col("type").isin(*vocab.EDGE_ENDS))
+    side = lambda s: known.select("id", "type", F.col(f"{s}_id").alias("node"), F.lit(s).alias("side"))
+    ends = side("source").unionAll(side("target")).join(nodes.select(F.col("id").alias("node"), "label"), "node")
+    return ends.join(allowed, ["type", "side", "label"], "left_anti").select("id", "side", "label")
 
 
 def all_checks(nodes: DataFrame, edges: DataFrame) -> dict[str, tuple[str, DataFrame]]:
@@ -93,11 +147,16 @@ def all_checks(nodes: DataFrame, edges: DataFrame) -> dict[str, tuple[str, DataF
         "duplicate_relationships": ("warning", duplicates(edges)),
         "missing_properties": ("warning", missing_properties(nodes)),
         "invalid_confidence": ("error", invalid_confidence(nodes, edges)),
-        "circular_dependencies": ("warning", cycles(edges)),
+        "circular_dependencies": ("warning", cycle_nodes(edges)),
         "semantic_consistency": ("warning", wrong_sources(nodes, edges)),
     }
 
 
+def in_document(nodes: DataFrame, edges: DataFrame, document_id: str | None) -> tuple[DataFrame, DataFrame]:
+    """The graph, or a document's part of it."""
+    return (nodes, edges) if document_id is None else tuple(df.where(F.col("document_id") == document_id) for df in (nodes, edges))
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = [df.agg(F.count("*").alias("issues")).select(F.lit(k).alias("check"), F.lit(s).alias("severity"), "issues", (F.col("issues") == 0).alias("passed")) for k, (s, df) in all_checks(nodes, edges).items()]
     return reduce(DataFrame.unionAll, rows)
@@ -123,3 +182,19 @@ def repair(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = keep_best(good, ["source_id", "target_id", "type"]).select(*edges.columns)
     ends = good.select(F.col("source_id").alias("id")).unionAll(good.select(F.col("target_id").alias("id")))
     return nodes.join(ends, "id", "left_semi"), good
+
+
+def repair_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: what repair removes, by reason."""
+    lost = cut(dangling(nodes, edges).select("id"))
+    kept = cut(repair(nodes, edges)[1].select("id", "source_id", "target_id"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    good = edges.join(lost, "id", "left_anti")
+    ends = kept.select(F.col("source_id").alias("id")).unionAll(kept.select(F.col("target_id").alias("id")))
+    parts = [
+        one(nodes.join(ends, "id", "left_anti"), "orphan_nodes_removed"),
+        one(lost, "dangling_relationships_removed"),
+        one(self_loops(good), "self_loops_removed"),
+        one(good.where("source_id <> target_id").join(kept.select("id"), "id", "left_anti"), "duplicate_relationships_removed"),
+    ]
+    return reduce(DataFrame.join, parts)

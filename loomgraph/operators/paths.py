@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checks import checkpointed
+from ..lineage import cut as checkpointed
 from .search import oriented
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,70 @@ def patterns(nodes: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
     side = lambda s: nodes.select(F.col("id").alias(f"{s}_id"), F.col("type").alias(f"{s}_type"))
     seen = edges.join(side("source"), "source_id").join(side("target"), "target_id").groupBy("source_type", "type", "target_type").agg(F.count("*").alias("n"))
     return seen.orderBy(F.desc("n"), "source_type", "type", "target_type").limit(k)
+
+
+def record_statistics(df: DataFrame) -> DataFrame:
+    """One row: total, counts by type, and average, least and greatest confidence; zeros if there is none."""
+    c = F.col("confidence")
+    per = df.groupBy("type").agg(F.count("*").alias("n"))
+    kinds = per.agg(F.array_sort(F.collect_list(F.struct("type", "n"))).alias("k")).select(F.array_join(F.transform("k", lambda x: F.concat_ws("=", x["type"], x["n"].cast("string"))), ",").alias("by_type"))
+    three = lambda x, name: F.coalesce(F.round(x, 3), F.lit(0.0)).alias(name)
+    has = lambda name: F.count_if(F.coalesce(name, F.lit("")) != "").alias(f"with_{name}")
+    more = [has(x) for x in ("evidence", "reasoning") if x in df.columns]
+    return df.agg(F.count("*").alias("total"), three(F.avg(c), "avg_confidence"), three(F.min(c), "min_confidence"), three(F.max(c), "max_confidence"), *more).join(kinds)
+
+
+def label_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, n): nodes by label, null ones left out, and relationships by type, the most frequent first."""
+    one = lambda df, kind, c: df.where(F.col(c).isNotNull()).groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
+    return one(nodes, "node", "label").unionAll(one(edges, "relationship", "type")).orderBy("kind", F.desc("n"), "name")
+
+
+def graph_statistics(nodes: DataFrame, edges: DataFrame, with_paths: bool = False) -> dict[str, DataFrame]:
+    """All statistics by name; the mean shortest path only on request, as it goes from every node."""
+    from .paths import mean_distance
+
+    out = {"basic": basic_counts(nodes, edges), "nodes": by_kind(nodes, "label"), "relationships": by_kind(edges, "type"), "connectivity": degree_summary(nodes, edges), "hub_nodes": central(nodes, edges, 5)}
+    return out | ({"paths": mean_distance(edges, nodes)} if with_paths else {})
+
+
+def document_analysis(nodes: DataFrame, edges: DataFrame, document_id: str, with_paths: bool = False) -> dict[str, DataFrame]:
+    """Statistics of a document's part of the graph, with its central entities, coverage and patterns."""
+    n, e = nodes.where(F.col("document_id") == document_id), edges.where(F.col("document_id") == document_id)
+    return graph_statistics(n, e, with_paths) | {"central": central(n, e, 5), "coverage": coverage(n), "patterns": patterns(n, e)}
+
+
+def summary_lines(nodes: DataFrame, edges: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """(line) of a report of the graph's statistics, and of its checks if their summary is given, in order."""
+    s = graph_statistics(nodes, edges)
+    blank = lambda part, text: nodes.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("").alias("key"), F.lit(text).alias("line"))
+
+    def told(part: int, df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+        rows = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("at"), F.concat(F.lit(f"  {label}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))).alias("line")) for k, (label, c) in enumerate(pairs))))
+        return df.select(rows.alias("r")).select(F.lit(part).alias("part"), "r.at", F.lit("").alias("key"), "r.line")
+
+    def listed(part: int, df: DataFrame, name: str, what: str) -> DataFrame:
+        line = F.concat(F.lit("  "), F.col(name), F.lit(": "), F.col("n").cast("string"), F.lit(f" {what}"), F.coalesce(F.concat(F.lit(", average confidence "), F.col("avg_confidence").cast("string")), F.lit("")))
+        return df.select(F.lit(part).alias("part"), F.lit(1).cast("long").alias("at"), F.col(name).alias("key"), line.alias("line"))
+
+    hubs = s["hub_nodes"].select(F.lit(7).alias("part"), (-F.col("degree")).alias("at"), F.col("id").alias("key"), F.concat(F.lit("  "), "text", F.lit(" (degree "), F.col("degree").cast("string"), F.lit(")")).alias("line"))
+    parts = [
+        blank(0, "GRAPH SUMMARY"),
+        told(1, s["basic"], [("Nodes", "nodes"), ("Relationships", "edges"), ("Average degree", "avg_degree"), ("Density", "density")]),
+        blank(2, "Node labels"),
+        listed(3, s["nodes"], "label", "nodes"),
+        blank(4, "Relationship types"),
+        listed(5, s["relationships"], "type", "relationships"),
+        blank(6, "Connectivity").unionAll(told(6, s["connectivity"], [("Least degree", "min_degree"), ("Greatest degree", "max_degree"), ("Average degree", "avg_degree"), ("Median degree", "median_degree")]).withColumn("at", F.col("at") + 1)),
+        hubs,
+    ]
+    if checks is not None:
+        total = checks.agg(F.sum("issues").alias("total"))
+        parts.append(told(8, total, [("Issues found by the checks", "total")]))
+        parts.append(checks.select(F.lit(9).alias("part"), F.lit(0).cast("long").alias("at"), F.col("check").alias("key"), F.concat(F.lit("  "), "check", F.lit(": "), F.col("issues").cast("string")).alias("line")))
+    return reduce(DataFrame.unionByName, parts).orderBy("part", "at", "key").select("line")
+
+
+def write_summary(nodes: DataFrame, edges: DataFrame, path: str, checks: DataFrame | None = None) -> None:
+    """The report as one text file: it is short whatever the graph's size."""
+    summary_lines(nodes, edges, checks).coalesce(1).write.mode("overwrite").text(path)
