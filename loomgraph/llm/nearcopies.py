@@ -6,7 +6,7 @@ shingles, so near copies stay close; a line repeated many times adds nothing). T
 class from the start. A sketch of 64 minima drops candidates far below the similarity before any text is read again; what
 is left is verified on the whole sets, before anything is reduced.
 
-Candidates come in two turns. First each document's few nearest partners in a probe group; then, of the rest, only
+Candidates come in turns. First each document's nearest partner in a probe group; then, of the next few and of the rest, only
 pairs whose documents aren't yet in one component. So a group of near copies costs links in proportion to its
 size; only documents that are near candidates and yet below the similarity are compared in all pairs.
 
@@ -30,7 +30,7 @@ from .simhash import GROUP_ROWS, majority_bits, nearest_partners, plan_parts, pr
 #: Differing bits of candidates' word fingerprints: on check_s 2 of 8,999 pairs of the similarity lie beyond.
 DISTANCE = 10
 #: Ranks of the partners of each turn.
-TURNS = ((0, 4), (4, None))
+TURNS = ((0, 1), (1, 8), (8, None))
 #: Minima in a sketch, and the share that must agree: a pair at 0.8 fails by chance once in about 30,000.
 BINS, AGREE = 64, 0.6
 #: Partners of one text that are verified in one task; rows of ids up to which they are broadcast (24 bytes each).
