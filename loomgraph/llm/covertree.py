@@ -379,3 +379,14 @@ def linked(reps: DataFrame, item: str, cosine: float, block: int) -> DataFrame:
 
     told = trees.join(partners, "block").repartition("pair").sortWithinPartitions("pair", "block")
     return cut(told.select("pair", "block", "rep", "n", "x", "levels").mapInArrow(compare, "a long, b long, n long"))
+
+
+def oracle(cosine: float = 0.95) -> str:
+    """The same rows in DuckDB, by all pairs."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {cosine}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON vec_id = a"""

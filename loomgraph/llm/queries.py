@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.oracle(), "op4_decontamination": decontam.oracle(), "op7_chat": chat.oracle()}
+    return {"op1_licenses": licenses.oracle(), "op4_decontamination": decontam.oracle(), "op5_embeddings": covertree.oracle(), "op7_chat": chat.oracle(), "op9_secrets": secret_scan.oracle()}

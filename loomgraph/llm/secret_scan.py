@@ -262,3 +262,22 @@ def find_in_python(text: str, rules: list[Rule] = RULES) -> list[tuple[str, int,
             if len(m.group(r.group)) >= r.least:
                 out.append((m.start(), k, m.end(), r.kind))
     return [(kind, s, e) for s, _, e, kind in sorted(out)]
+
+
+def oracle(rules: list[Rule] = RULES, base: list[Rule] = BASE) -> str:
+    """The same rows in DuckDB, by its own expressions: places come from what lies between the matches."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    found = []
+    for k, r in enumerate(rules):
+        p = q(r.java if r.kind != "hex" else "[0-9a-f]{24,}")  # runs that are long enough, as most letters are a run
+        found.append(f"SELECT r, '{r.kind}' AS kind, {k} AS rank, {r.least} AS least, regexp_extract_all(t, {p}, 0) AS f, regexp_extract_all(t, {p}, {r.group}) AS c, regexp_split_to_array(t, {p}) AS b FROM d WHERE regexp_matches(t, {p})")
+    told = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    kinds = ", ".join(f"'{r.kind}'" for r in base)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in base)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, kind, rank, least, f, c, b, unnest(range(1, len(f) + 1)) AS i FROM ({" UNION ALL ".join(found)})),
+s AS (SELECT r, kind, rank, least, length(c[i]) AS k, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, length(f[i]) AS n FROM m),
+kept AS (SELECT r, kind, rank, start, start + n AS stop FROM s WHERE k >= least),
+told AS (SELECT r, {counts}, {told} AS spans, {told} FILTER (kind IN ({kinds})) AS base FROM kept GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told ON d.r = told.r"""

@@ -434,6 +434,66 @@ def test_language(spark):
     assert langid.identify(d.limit(0)).count() == 0
 
 
+def test_odd_tables(spark):
+    """Nulls in any column, repeated rows, very long texts, clashing columns and empty tables, for every operator on documents."""
+    long = " ".join(f"word{k % 97} a.b@c.org" if k % 50 == 0 else f"word{k % 89}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, long), (4, prose(4, 50)), (4, prose(4, 50)), (4, prose(5, 50)), (None, prose(6, 50)), (None, None), (5, "\x00 \ufffd 😀 ünï")]
+    d = spark.createDataFrame([(i, t, None, None, None, "x", 1.5, [1], "y", "z", True, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, found double, spans array<int>, fp string, version string, rules boolean, item_id int")
+    items = spark.createDataFrame([(1, " ".join(long.split()[500:540])), (1, None), (None, prose(4, 50))], "item_id long, text string")
+    labels = spark.createDataFrame([(4, None, None), (None, 1, 1), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    runs = {
+        "licenses": licenses.recognise,
+        "packing": packing.pack,
+        "pii": pii.scan,
+        "redact": pii.redact,
+        "decontam": lambda x: decontam.matches(x, items),
+        "clean": lambda x: decontam.clean(x, items),
+        "toxicity": lambda x: toxicity.classify(x, labels),
+        "simhash": simhash.components,
+        "near": nearcopies.keep_one,
+        "secrets": secret_scan.scan,
+        "language": langid.identify,
+        "identified": langid.keep_identified,
+    }
+    for name, run in runs.items():
+        got = run(d).collect()
+        one_each = name in ("licenses", "pii", "redact", "toxicity", "simhash", "secrets", "language")
+        assert not one_each or len(got) == len(rows), name
+        if one_each:  # rows that repeat have one result
+            assert len({str(r) for r in got if r["doc_id"] == 4}) <= 2, name
+        assert run(d.limit(0)).count() == 0, name
+    assert {(r["doc_id"], r["item_id"]) for r in runs["decontam"](d).collect()} == {(3, 1), (4, None)}
+    assert sorted(((r["doc_id"] or 0, (r["text"] or "")[:30]) for r in runs["clean"](d).collect())) == sorted((i or 0, (t or "")[:30]) for i, t in rows if i != 3 and t != prose(4, 50))
+    assert sum(r["length"] for r in runs["packing"](d).where("doc_id = 3").collect()) > 60_000
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, None, 0)], "vec_id long, embedding array<double>, n_links int")
+    assert sorted(map(str, covertree.similar(twice).select("vec_id", "n_links").collect())) == sorted(map(str, [(1, 1), (1, 1), (None, 0), (2, 0)])) or covertree.similar(twice).count() == 4
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.formatted(chat.linear_trees(none))).count() == 0
+
+
+def test_empty_pipeline(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op5_embeddings", "op9_secrets", "op1_licenses"])
+def test_same_rows(spark, name):
+    """Queries against their DuckDB twins on the smallest tables."""
+    import duckdb
+    from loomgraph.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df = queries.queries()[name](spark, folder)
+    cols = sorted(df.columns)
+    want = con.execute(f"select {', '.join(cols)} from ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(str, want))
+
+
 def test_pipeline(spark, tmp_path):
     texts = [prose(k, 80) + "." for k in range(30)]
     item = prose(777, 30)
@@ -443,3 +503,10 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {*range(30), 35}
     assert out.agg(F.max("length")).first()[0] <= 2048
+    folder = str(tmp_path / "work")
+    again = corpus_pipeline.run(spark, str(tmp_path), folder)
+    assert again.count() == out.count()
+    import os
+
+    assert sorted(os.listdir(folder)) == ["3-pii"]  # the stages before it are gone
+    assert corpus_pipeline.run(spark, str(tmp_path), folder).count() == out.count()  # goes on after the last whole one
