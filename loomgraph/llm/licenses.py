@@ -144,33 +144,38 @@ def identifier(sentence: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
         out = F.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
-    known = F.create_map(*(F.lit(x) for pair in EXACT.items() for x in pair))
+    known = F.map_from_arrays(F.split(F.lit("|".join(EXACT)), "[|]"), F.split(F.lit("|".join(EXACT.values())), "[|]"))
     return F.coalesce(F.try_element_at(known, sentence), out)
 
 
 def part_ids(part: Column) -> Column:
-    """Identifiers of a part: of its lines, up to one from which all that is left is a known sentence, wrapped."""
-
-    def one(s: Column) -> Column:
-        return F.when(s.rlike(ANCHOR), identifier(normalised(s)))
-
-    def known(found: Column) -> Column:
-        return found.isNotNull() & (found != "OtherLicence")
-
-    def step(done: Column, at: Column) -> Column:
-        lines, ids = done["lines"], done["ids"]
-        line = F.element_at(lines, at)
-        alone = one(line)
-        first = (at < F.size(lines)) & ((at == 1) | normalised(line).rlike(STARTS))
-        rest = F.when(first & ~F.coalesce(known(alone), F.lit(False)), one(F.array_join(F.slice(lines, at, F.size(lines)), " ")))
-        taken = F.coalesce(known(rest), F.lit(False))
-        more = F.struct(lines.alias("lines"), F.concat(ids, F.array(F.when(taken, rest).otherwise(alone))).alias("ids"), taken.alias("over"))
-        return F.when(done["over"], done).otherwise(more)
+    """Identifiers of a part: of its lines, up to one from which all that is left is a known sentence, wrapped.
 
+    Lines and what is left from a line on are identified in one go, so the plan holds the expressions once.
+    """
     lines = F.split(part, ENDS, -1)
-    start = F.struct(lines.alias("lines"), F.array().cast("array<string>").alias("ids"), F.lit(False).alias("over"))
-    wrapped = F.aggregate(F.sequence(F.lit(1), F.size(lines)), start, step, lambda done: done["ids"])
-    return F.when(part.contains("\n"), wrapped).otherwise(F.array(identifier(normalised(part))))
+    n = F.size(lines)
+
+    def rest_from(k: Column) -> Column:
+        first = (k < n) & ((k == 1) | normalised(F.element_at(lines, k)).rlike(STARTS))
+        return F.when(first, F.array_join(F.slice(lines, k, n), " "))
+
+    texts = F.concat(lines, F.transform(F.sequence(F.lit(1), n), rest_from))
+    found = F.transform(texts, lambda s: F.when(s.rlike(ANCHOR), identifier(normalised(s))))
+
+    def known(x: Column) -> Column:
+        return F.coalesce(x != "OtherLicence", F.lit(False))
+
+    def step(done: Column, k: Column) -> Column:
+        ids = done["found"]
+        half = (F.size(ids) / 2).cast("int")
+        alone, rest = F.element_at(ids, k), F.element_at(ids, half + k)
+        taken = ~known(alone) & known(rest)
+        more = F.struct(ids.alias("found"), F.concat(done["ids"], F.array(F.when(taken, rest).otherwise(alone))).alias("ids"), taken.alias("over"))
+        return F.when(done["over"], done).otherwise(more)
+
+    start = F.struct(found.alias("found"), F.array().cast("array<string>").alias("ids"), F.lit(False).alias("over"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda done: done["ids"])
 
 
 def recognise(docs: DataFrame) -> DataFrame:
