@@ -3,7 +3,7 @@
 Two documents are linked if the Jaccard similarity of their distinct five-word shingles is at least 0.8 and the search pairs them:
 fingerprints over a text's distinct words differ in at most ``DISTANCE`` bits (a changed word changes one of those and five
 shingles, so near copies stay close; a line repeated many times adds nothing). Texts of one shingle set are one
-class from the start. A sketch of 64 minima drops candidates far below the similarity before any text is read again; what
+class from the start. A sketch of 64 minima drops candidates below the similarity where they meet, before any is sent on; what
 is left is verified on the whole sets, before anything is reduced.
 
 Candidates come in turns. First each document's nearest partner in a probe group; then, of the next few and of the rest, only
@@ -16,7 +16,7 @@ documents; repeated rows are one. Other columns make no difference.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,11 @@ from .simhash import GROUP_ROWS, majority_bits, nearest_partners, plan_parts, pr
 #: Differing bits of candidates' word fingerprints: on check_s 2 of 8,999 pairs of the similarity lie beyond.
 DISTANCE = 10
 #: Ranks of the partners of each turn.
-TURNS = ((0, 1), (1, 8), (8, None))
-#: Minima in a sketch, and the share that must agree: a pair at 0.8 fails by chance once in about 30,000.
-BINS, AGREE = 64, 0.6
+TURNS = ((0, 2), (2, None))
+#: Minima in a sketch, and the share that must agree: of pairs at just 0.8 one in 40 fails by chance, at 0.85 one in 1,000; short
+#: texts' sketches are nearly their sets.
+BINS, AGREE = 64, 0.7
+WORDS64 = [f"s{k}" for k in range(BINS // 4)]
 #: Partners of one text that are verified in one task; rows of ids up to which they are broadcast (24 bytes each).
 PARTNERS, BROADCAST_ROWS = 256, 500_000
 
@@ -41,7 +43,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def sketch(shingles: np.ndarray) -> bytes:
+def sketch(shingles: np.ndarray) -> np.ndarray:
     """16 bits of the smallest hash in each of 64 ranges; zero where a range is empty."""
     shift = np.uint64(58)
     first = np.searchsorted(shingles, np.arange(BINS, dtype=np.uint64) << shift)
@@ -50,7 +52,7 @@ def sketch(shingles: np.ndarray) -> bytes:
     least = shingles[first[full]]
     own = (least >> shift) == np.flatnonzero(full).astype(np.uint64)
     out[np.flatnonzero(full)[own]] = ((least[own] >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16) | 1
-    return out.tobytes()
+    return out.view(np.int64)
 
 
 def word_hashes(text: str | None) -> list[int]:
@@ -72,30 +74,30 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
                     pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(majority_bits([word_hashes(t) for t in texts])),
-                    pa.array([sketch(s) for s in sets], pa.binary()),
+                    pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "version", "key", "n", "fp", "sketch"],
             )
 
-    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, key long, n int, fp long, sketch binary")
+    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, key long, n int, fp long, sketch array<long>")
 
 
-def likely(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity. sets: key, n, sketch."""
+def likely(similarity: tuple[int, int]) -> Callable:
+    """Which pairs (i, j) the sizes and sketches allow; rows: the size, then the sketch as words of 64 bits."""
     num, den = similarity
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, BINS)
-        for batch in batches:
-            if batch.num_rows:
-                x, y = table(batch.column("sa")), table(batch.column("sb"))
-                n, m = (np.asarray(batch.column(c)) for c in ("na", "nb"))
-                agree, filled = ((x == y) & (x != 0)).sum(1), ((x != 0) | (y != 0)).sum(1)
-                ok = (np.minimum(n, m) * den >= num * np.maximum(n, m)) & (agree >= AGREE * filled)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+    def test(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n = rows[0]
+        ok = np.minimum(n[i], n[j]) * den >= num * np.maximum(n[i], n[j])
+        at = np.flatnonzero(ok)
+        minima = np.ascontiguousarray(rows[1:].T).view(np.uint16)
+        for f in range(0, len(at), 50_000):
+            part = at[f : f + 50_000]
+            x, y = minima[i[part]], minima[j[part]]
+            ok[part] = ((x == y) & (x != 0)).sum(1) >= AGREE * ((x != 0) | (y != 0)).sum(1)
+        return ok
 
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return test
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -142,16 +144,16 @@ def labelled(docs: DataFrame, words: int, similarity: tuple[int, int], distance:
     best = F.min(F.struct("doc_id", "version"))
     # of one key all rows have one set, and so one n, fingerprint and sketch
     sets = cut(found.groupBy("key").agg(best.alias("row"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")).select("key", "row.doc_id", "row.version", "n", "fp", "sketch"))
-    reps = sets.where("n > 0").select("fp", F.col("key").alias("rep"))
+    reps = sets.where("n > 0").select("fp", F.col("key").alias("rep"), F.col("n").cast("long").alias("n"), *(F.col("sketch")[k].alias(c) for k, c in enumerate(WORDS64)))
     parts = plan_parts(reps, distance)
     links = labels = None
     for first, last in TURNS:
         own = F.col("rep").alias("label")
         if labels is not None:
-            reps_now = reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", "rep", F.coalesce("component", "rep").alias("label"))
+            reps_now = reps.join(labels, reps["rep"] == labels["node"], "left").select("fp", "rep", F.coalesce("component", "rep").alias("label"), "n", *WORDS64)
         else:
-            reps_now = reps.select("fp", "rep", own)
-        pairs = cut(likely(probed(reps_now, parts, distance, nearest_partners(first, last), ["label"], group_rows), sets, similarity))
+            reps_now = reps.select("fp", "rep", own, "n", *WORDS64)
+        pairs = cut(probed(reps_now, parts, distance, nearest_partners(first, last, likely(similarity)), ["label", "n", *WORDS64], group_rows).distinct())
         if pairs.isEmpty():
             continue
         good = cut(verified(pairs, docs, sets.select("key", "doc_id", "version"), words, similarity))

@@ -202,13 +202,16 @@ def star_forest(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.
         yield forest(np.concatenate(us), np.concatenate(vs))
 
 
-def nearest_partners(first: int, last: int | None) -> Callable:
-    """Of each row's near pairs in a group those ranked first to last - 1 by distance (ties by a hash, so that no row becomes
+def nearest_partners(first: int, last: int | None, likely: Callable | None = None) -> Callable:
+    """Of each row's near pairs (those that are likely by the columns after the label) in a group those ranked first to last - 1 by distance (ties by a hash, so that no row becomes
     everyone's partner), and of these the pairs whose labels (the column after fp) differ, as (smaller rep, larger rep)."""
 
     def solve(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rep, label = rows[5], rows[7]
         for i, j, d in strips:
+            if likely is not None:
+                ok = likely(rows[8:], i, j)
+                i, j, d = i[ok], j[ok], d[ok]
             mixed = (rep[i] ^ rep[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             order = np.lexsort((mixed ^ mixed >> np.uint64(29), d, i))
             i, j = i[order], j[order]
@@ -226,6 +229,7 @@ def nearest_partners(first: int, last: int | None) -> Callable:
 
 def over_groups(distance: int, solve: Callable, columns: list[str]):
     """Arrow function over rows sorted by group, a bounded number of them at a time."""
+    most = 1_600_000 // len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -245,7 +249,7 @@ def over_groups(distance: int, solve: Callable, columns: list[str]):
         for batch in batches:
             if batch.num_rows:
                 kept.append(np.stack([np.asarray(batch.column(c)) for c in columns]))
-                if sum(k.shape[1] for k in kept) >= 200_000:
+                if sum(k.shape[1] for k in kept) >= most:
                     yield from flush(False)
         if kept:
             yield from flush(True)
