@@ -19,16 +19,18 @@ in their order, a bounded run at a time, without a shuffle; a task that is run a
 from __future__ import annotations
 
 import itertools
+import os
 import sys
 import threading
 import types
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,25 +44,55 @@ SENTENCE_CUT, ANY_CUT, SHORT = 4, 64, 32
 LAST_WINDOWS = 3
 #: Ids of the run that one programme covers, at least.
 RUN_IDS = 1_500_000
-#: Words whose ids a worker keeps, at most.
-KEPT_WORDS = 500_000
+#: Words of a form whose ids a worker keeps, and ids of these, at most.
+KEPT_WORDS, KEPT_IDS = 600_000, 6_000_000
+#: Characters of texts whose words are looked up together.
+LOOKED_UP = 3_000_000
 #: Seconds that a worker keeps them after a task, for the next one.
 KEPT_SECONDS = 4.0
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 
 
-class Places(dict):
-    """Numbers words as they are first asked for."""
+class Table:
+    """The words of one form and their ids, in arrays: a word in Python's own objects takes several times as much."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self.words = pa.array([], pa.string())
+        self.flat, self.size, self.stop, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def numbers(self, words: pa.Array, times: np.ndarray) -> np.ndarray:
+        """The numbers of distinct words that are used so many times; new ones are encoded."""
+        k = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            k[new] = np.arange(len(self.words), len(self.words) + len(new))
+            fresh = words.take(pa.array(new))
+            parts = [self.encode(fresh.slice(f, 20_000)) for f in range(0, len(new), 20_000)]
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
+            self.size = np.concatenate([self.size, *(size for _, size in parts)])
+            self.stop = np.concatenate([self.stop, ends_sentence(fresh)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+            self.words = pa.concat_arrays([self.words, fresh])
+            assert len(self.words) == len(self.size)
+        self.used[k] += times
+        return k
 
-    def __init__(self, new: list[str], count):
-        super().__init__()
-        self.new, self.count = new, count
+    def forget(self) -> None:
+        """If too much is kept, the words used least often go (those used once first) until at most half of it is left."""
+        if len(self.size) <= KEPT_WORDS and len(self.flat) <= KEPT_IDS:
+            return
+        most = 1
+        while (keep := self.used > most).sum() > KEPT_WORDS // 2 or self.size[keep].sum() > KEPT_IDS // 2:
+            most *= 2
+        self.flat = self.flat[np.repeat(keep, self.size)]
+        self.size, self.stop, self.used = self.size[keep], self.stop[keep], self.used[keep] // 2
+        self.words = self.words.filter(pa.array(keep))
 
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        k = self[word] = next(self.count)
-        return k
+
+def ends_sentence(words: pa.Array) -> np.ndarray:
+    return np.logical_or.reduce([np.asarray(pc.ends_with(words, pattern=c)) for c in ".!?"])
 
 
 class Words:
@@ -68,7 +100,8 @@ class Words:
 
     Byte-level BPE never joins across a single blank or newline: a blank begins the word after it, a newline stands
     alone. So a text whose white space is all single is the concatenation of its words' ids; others go to the tokenizer
-    whole. New words are encoded together, a newline before each, and parted at the newline's id.
+    whole. Each distinct word of some texts is looked up once; new ones are encoded together, a newline before each, and parted
+    at the newline's id.
     """
 
     NEWLINE = 198
@@ -76,72 +109,57 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a task has one core, and the library's threads would keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         assert self.tok.encode("\n", add_special_tokens=False).ids == [self.NEWLINE]
-        self.clear()
-
-    def clear(self) -> None:
-        count = itertools.count()
-        self.new = [], [], []
-        # words after a blank, after a newline, and at a text's start
-        self.after = tuple(Places(new, count) for new in self.new)
-        self.flat, self.size, self.stop = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, bool)
-
-    def learn(self) -> None:
-        """Encodes the new words of each form; numbers were given in turn, forms one after another."""
-        parts, sizes, stops, places = [self.flat], [self.size], [self.stop], []
-        for form, new in enumerate(self.new):
-            for f in range(0, len(new), 20_000):
-                words = new[f : f + 20_000]
-                lead = "\n " if form == 0 else "\n"
-                lines = [lead + lead.join(words[i : i + 32]) for i in range(0, len(words), 32)]
-                ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
-                at = np.flatnonzero(ids == self.NEWLINE)
-                size = np.diff(np.append(at, len(ids)))
-                if form != 1:  # the newline isn't theirs
-                    ids, size = np.delete(ids, at), size - 1
-                parts.append(ids)
-                sizes.append(size.astype(np.int32))
-                stops.append(np.array([w[-1] in ".!?" for w in words]))
-                places += [self.after[form][w] for w in words]
-            new.clear()
-        if not places:
-            return
-        known = len(self.size)
-        order = np.argsort(np.array(places), kind="stable")
-        size, ids = np.concatenate(sizes[1:]), np.concatenate(parts[1:])
-        first = np.cumsum(size) - size
-        size, first = size[order], first[order]
-        ids = ids[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
-        self.flat, self.size, self.stop = np.concatenate([self.flat, ids]), np.concatenate([self.size, size]), np.concatenate([self.stop, np.concatenate(stops[1:])[order]])
-        assert known + len(order) == len(self.size)
-        self.first = np.cumsum(self.size, dtype=np.int64) - self.size
+        # words after a blank, after a newline (whose ids hold it), and at a text's start
+        self.tables = [Table(lambda words, form=form: self.encoded(words, form)) for form in range(3)]
+
+    def encoded(self, words: pa.Array, form: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids a word)."""
+        lead = "\n " if form == 0 else "\n"
+        some = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 128), len(words)), pa.int32()), words)
+        lines = [lead + line for line in pc.binary_join(some, lead).to_pylist()]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        at = np.flatnonzero(ids == self.NEWLINE)
+        size = np.diff(np.append(at, len(ids))).astype(np.int32)
+        if form != 1:  # the newline isn't theirs
+            ids, size = np.delete(ids, at), size - 1
+        return ids, size
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids a text, True where an id ends a sentence)."""
-        if len(self.size) > KEPT_WORDS:
-            self.clear()
-        split = [t.split() for t in texts]
-        plain = [bool(w) and " ".join(w) == t.replace("\n", " ") and not any(x in t for x in self.special) for t, w in zip(texts, split, strict=True)]
-        words = list(itertools.chain.from_iterable(w for w, p in zip(split, plain, strict=True) if p))
-        number = np.array([len(w) if p else 0 for w, p in zip(split, plain, strict=True)])
-        if words:
-            k = np.fromiter(map(self.after[0].__getitem__, words), np.int64, len(words))
+        for table in self.tables:
+            table.forget()
+        plain = [bool(t) and " ".join(t.split()) == t.replace("\n", " ") and not any(x in t for x in self.special) for t in texts]
+        number = np.array([t.count(" ") + t.count("\n") + 1 if p else 0 for t, p in zip(texts, plain, strict=True)])
+        if any(plain):
+            together = "\n".join(t for t, p in zip(texts, plain, strict=True) if p)
+            found = pc.split_pattern(pa.array([together.replace("\n", " ")]), " ").values.dictionary_encode()
+            distinct, which = found.dictionary, np.asarray(found.indices)
             # the white space before each word: a blank, but for a text's first word and after a newline
-            joined = np.frombuffer("\n".join(t for t, p in zip(texts, plain, strict=True) if p).encode("utf-8", "surrogatepass"), np.uint8)
-            before = joined[(joined == 32) | (joined == 10)]
+            raw = np.frombuffer(together.encode(), np.uint8)
+            before = raw[(raw == 32) | (raw == 10)]
             starts = (np.cumsum(number) - number)[np.array(plain)]
             lines = np.setdiff1d(np.flatnonzero(before == 10) + 1, starts, assume_unique=True)
-            for form, at in ((1, lines), (2, starts)):
-                table = self.after[form]
-                k[at] = [table[words[i]] for i in at.tolist()]
-            self.learn()
-            size = self.size[k].astype(np.int64)
+            form = np.zeros(len(which), np.int8)
+            form[lines], form[starts] = 1, 2
+            k = np.zeros(len(which), np.int64)
+            for f, table in enumerate(self.tables):
+                at = np.flatnonzero(form == f)
+                times = np.bincount(which[at], minlength=len(distinct))
+                there = np.flatnonzero(times)
+                place = np.zeros(len(distinct), np.int64)
+                place[there] = table.numbers(distinct.take(pa.array(there)), times[there])
+                k[at] = place[which[at]] + sum(len(t.size) for t in self.tables[:f])
+            every = np.concatenate([t.size for t in self.tables]).astype(np.int64)
+            size = every[k]
             ends = np.cumsum(size)
-            flat = self.flat[np.arange(int(ends[-1])) + np.repeat(self.first[k] - ends + size, size)]
+            flat = np.concatenate([t.flat for t in self.tables])[np.arange(int(ends[-1])) + np.repeat((np.cumsum(every) - every)[k] - ends + size, size)]
             stop = np.zeros(len(flat), bool)
-            stop[ends[self.stop[k]] - 1] = True
+            stop[ends[np.concatenate([t.stop for t in self.tables])[k]] - 1] = True
             # a newline ends a sentence too: the id before it
             stop[ends[lines - 1] - 1] = True
             upto = np.concatenate([[0], ends])[np.cumsum(number)]
@@ -317,7 +335,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = None, with
             rest[:], rest_stops[:] = [ids[done:]], [stops[done:]]
             held = len(ids) - done
 
-        for doc_ids, texts in text_chunks(batches):
+        for doc_ids, texts in text_chunks(batches, most=LOOKED_UP):
             flat, sizes, stops = words.ids([t or "" for t in texts])
             ends = np.cumsum(sizes)
             flat, stops = np.insert(flat, ends, END_ID), np.insert(stops, ends, False)

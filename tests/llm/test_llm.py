@@ -122,6 +122,33 @@ def test_packing(spark):
     assert packing.pack(d.limit(0)).count() == 0
 
 
+def test_words_used_often_are_encoded_once(monkeypatch):
+    """When the memory of words is full rare ones go; ids stay those of the tokenizer."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "KEPT_WORDS", 300)
+    words = packing.Words(public_tokenizers.path(packing.TOKENIZER))
+    tok, lines = words.tok, []
+
+    class Listened:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, texts, **options):
+            lines.extend(texts)
+            return tok.encode_batch_fast(texts, **options)
+
+    words.tok = Listened()
+    often = [f"often{k}" for k in range(100)]
+    for turn in range(12):
+        text = " ".join(["the", *often, *(f"rare{turn}x{k}." for k in range(150))]) + f"\n{prose(turn, 30)}"
+        ids, sizes, stops = words.ids([text, "", "two  blanks", text])
+        whole = [tok.encode(t, add_special_tokens=False).ids for t in (text, "", "two  blanks", text)]
+        assert ids.tolist() == sum(whole, []) and sizes.tolist() == [len(w) for w in whole]
+    encoded = " ".join(lines).split()
+    assert all(encoded.count(w) == 1 for w in often)
+
+
 def test_windows_are_best():
     rng = random.Random(5)
     cost = lambda n, short: min(10 - n, 10 if short is None or n & (n - 1) else short)
