@@ -202,25 +202,29 @@ def star_forest(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.
         yield forest(np.concatenate(us), np.concatenate(vs))
 
 
-def nearest_partners(first: int, last: int | None, likely: Callable | None = None) -> Callable:
-    """Of each row's near pairs (those that are likely by the columns after the label) in a group those ranked first to last - 1 by distance (ties by a hash, so that no row becomes
-    everyone's partner), and of these the pairs whose labels (the column after fp) differ, as (smaller rep, larger rep)."""
+def nearest_partners(last: int | None, likely: Callable) -> Callable:
+    """Of each row's likely near pairs in a group the nearest ones, as (smaller rep, larger rep), and who had more, as (rep, rep).
+
+    likely tells by the columns after the label. Of them the first ``last`` (None: all) by distance are taken, ties by a hash, so that
+    no row becomes everyone's partner, and of these the pairs whose labels (the column after fp) differ.
+    """
 
     def solve(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rep, label = rows[5], rows[7]
         for i, j, d in strips:
-            if likely is not None:
-                ok = likely(rows[8:], i, j)
-                i, j, d = i[ok], j[ok], d[ok]
-            mixed = (rep[i] ^ rep[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            order = np.lexsort((mixed ^ mixed >> np.uint64(29), d, i))
-            i, j = i[order], j[order]
-            begin = np.concatenate([[True], i[1:] != i[:-1]])
-            rank = np.arange(len(i)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
-            ok = (rank >= first) & (label[i] != label[j])
-            if last is not None:
-                ok &= rank < last
-            a, b = rep[i[ok]], rep[j[ok]]
+            ok = likely(rows[8:], i, j) & (label[i] != label[j])
+            i, j, d = i[ok], j[ok], d[ok]
+            if last is not None and len(i):
+                mixed = (rep[i] ^ rep[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                order = np.lexsort((mixed ^ mixed >> np.uint64(29), d, i))
+                i, j = i[order], j[order]
+                begin = np.concatenate([[True], i[1:] != i[:-1]])
+                ok = np.arange(len(i)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] < last
+                more = np.unique(np.concatenate([rep[i[~ok]], rep[j[~ok]]]))
+                if len(more):
+                    yield more, more
+                i, j = i[ok], j[ok]
+            a, b = rep[i], rep[j]
             if len(a):
                 yield np.minimum(a, b), np.maximum(a, b)
 
@@ -257,13 +261,13 @@ def over_groups(distance: int, solve: Callable, columns: list[str]):
     return run
 
 
-def plan_parts(reps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
+def plan_parts(reps: DataFrame, distance: int, most_masked: int = 2) -> list[tuple[list[int], int]]:
     """The parts to probe, by a bounded sample of reps (fp, rep); none if there is no pair."""
     n = reps.count()
     if n < 2:
         return []
     picked = reps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
-    return allocate(np.array([r["fp"] for r in picked], np.int64), n, distance)
+    return allocate(np.array([r["fp"] for r in picked], np.int64), n, distance, most_masked)
 
 
 def probed(reps: DataFrame, parts: list[tuple[list[int], int]], distance: int, solve: Callable, extra: list[str], group_rows: int) -> DataFrame:

@@ -420,6 +420,41 @@ def test_near_copies_of_a_large_group(spark):
     assert {r["doc_id"] for r in nearcopies.keep_one(d, group_rows=64).collect()} == set(label)
 
 
+def test_near_copies_shuffle_in_proportion(spark, monkeypatch):
+    """Probe rows a document are bounded whatever the table's size, narrow, and sent again only for those with many partners."""
+    sample = np.random.default_rng(1).integers(-(2**63), 2**63, 512)
+    for rows in (10**4, 10**6, 10**8):
+        assert len(simhash.probe_masks(simhash.allocate(sample, rows, nearcopies.DISTANCE, nearcopies.MASKED))) <= 55
+    sent = []
+
+    def probed(reps, *rest):
+        sent.append((reps.count(), len(reps.columns)))
+        return simhash.probed(reps, *rest)
+
+    monkeypatch.setattr(nearcopies, "probed", probed)
+    texts = [prose(k + 3000, 150) for k in range(60)] + [prose(77, 150) + f" x{k}" for k in range(9)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in nearcopies.keep_one(d).collect()} == set(range(61))
+    assert [n for n, _ in sent] == [69, 0, 9, 0]
+    assert all(columns <= 8 for _, columns in sent)
+
+
+def test_sketches_lose_hardly_any_pair():
+    """Of pairs of just the similarity at most one in 100 goes; of those far below it at most one in 10 stays."""
+    rng = np.random.default_rng(3)
+    for size in (9, 36, 90, 360, 900, 3600):
+        for parity in [p for p, fits in ((True, size <= nearcopies.PARITY_MOST), (False, size * 5 > 4 * nearcopies.PARITY_MOST)) if fits]:
+            for shared, least, most in ((size * 8 // 9, 0.99, 1), (size // 2, 0, 0.1)):
+                rows = []
+                for _ in range(500):
+                    h = rng.integers(0, 2**64, 2 * size - shared, np.uint64)
+                    rows += [nearcopies.sketch(np.sort(x)) for x in (h[:size], h[size - shared :])]
+                words = np.array(rows).T[:4] if parity else np.array(rows).T[4:]
+                at = np.arange(0, 1000, 2)
+                kept = nearcopies.likely((4, 5), parity)(np.vstack([np.full(1000, size), words]), at, at + 1).mean()
+                assert least <= kept <= most, (size, parity, shared, kept)
+
+
 def test_components(spark):
     e = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
