@@ -202,29 +202,43 @@ def star_forest(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.
         yield forest(np.concatenate(us), np.concatenate(vs))
 
 
-def nearest_partners(last: int | None, likely: Callable) -> Callable:
+def first_mask(x: np.ndarray, masks: list[int]) -> np.ndarray:
+    """The first of the masks under which differing bits x vanish, 0 where there is none."""
+    out = np.zeros(len(x), np.int64)
+    for m in masks:
+        out[(out == 0) & (x & np.int64(m) == 0)] = m
+    return out
+
+
+def nearest_partners(last: int | None, likely: Callable, masks: list[int]) -> Callable:
     """Of each row's likely near pairs in a group the nearest ones, as (smaller rep, larger rep), and who had more, as (rep, rep).
 
-    likely tells by the columns after the label. Of them the first ``last`` (None: all) by distance are taken, ties by a hash, so that
-    no row becomes everyone's partner, and of these the pairs whose labels (the column after fp) differ.
+    likely tells by the columns after the label which pairs are likely, and how far apart these are. Of them the first ``last``
+    (None: all) are taken, ties by a hash, so that no row becomes everyone's partner, and of these the pairs whose labels (the column
+    after fp) differ. A pair that meets in several groups counts in that of its first mask alone.
     """
 
     def solve(strips: Iterator[Strip], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rep, label = rows[5], rows[7]
-        for i, j, d in strips:
-            ok = likely(rows[8:], i, j) & (label[i] != label[j])
-            i, j, d = i[ok], j[ok], d[ok]
-            if last is not None and len(i):
+        mask, rep, fp, label = rows[0], rows[5], rows[6], rows[7]
+        for i, j, _ in strips:
+            ok = label[i] != label[j]
+            i, j = i[ok], j[ok]
+            ok, apart = likely(rows[8:], i, j)
+            i, j, apart = i[ok], j[ok], apart[ok]
+            if not len(i):
+                continue
+            within = np.ones(len(i), bool)
+            if last is not None:
                 mixed = (rep[i] ^ rep[j]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                order = np.lexsort((mixed ^ mixed >> np.uint64(29), d, i))
+                order = np.lexsort((mixed ^ mixed >> np.uint64(29), apart, i))
                 i, j = i[order], j[order]
                 begin = np.concatenate([[True], i[1:] != i[:-1]])
-                ok = np.arange(len(i)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] < last
-                more = np.unique(np.concatenate([rep[i[~ok]], rep[j[~ok]]]))
-                if len(more):
-                    yield more, more
-                i, j = i[ok], j[ok]
-            a, b = rep[i], rep[j]
+                within = np.arange(len(i)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] < last
+            own = first_mask(fp[i] ^ fp[j], masks) == mask[i]
+            more = np.unique(np.concatenate([rep[i[own & ~within]], rep[j[own & ~within]]]))
+            if len(more):
+                yield more, more
+            a, b = rep[i[own & within]], rep[j[own & within]]
             if len(a):
                 yield np.minimum(a, b), np.maximum(a, b)
 
