@@ -45,9 +45,9 @@ LAST_WINDOWS = 3
 #: Ids of the run that one programme covers, at least.
 RUN_IDS = 1_500_000
 #: Words of a form whose ids a worker keeps, and ids of these, at most.
-KEPT_WORDS, KEPT_IDS = 600_000, 6_000_000
+KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
 #: Characters of texts whose words are looked up together.
-LOOKED_UP = 3_000_000
+LOOKED_UP = 2_000_000
 #: Seconds that a worker keeps them after a task, for the next one.
 KEPT_SECONDS = 4.0
 END_ID = 1

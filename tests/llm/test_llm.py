@@ -149,6 +149,26 @@ def test_words_used_often_are_encoded_once(monkeypatch):
     assert all(encoded.count(w) == 1 for w in often)
 
 
+def test_memory_of_words_is_small():
+    """A kept word takes less than 100 bytes with its ids: two workers of an executor keep all that may be kept."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    words = packing.Words(public_tokenizers.path(packing.TOKENIZER))
+    text = " ".join(f"w{k * 7919:x}" for k in range(60_000))
+    gc.collect()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    words.ids([text])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 60_000 * 100
+
+
 def test_windows_are_best():
     rng = random.Random(5)
     cost = lambda n, short: min(10 - n, 10 if short is None or n & (n - 1) else short)
