@@ -150,6 +150,36 @@ def test_coreference(spark):
     assert resolve.merge_coreferent(e.withColumn("confidence", F.lit(0.5))).count() == 2
 
 
+def test_partial_names(spark):
+    """Mentions find the first name that holds them, as a loop does, and no join compares the names that share a piece one by one."""
+    import random
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 9))).strip() or "a" for _ in range(60)] + ["ab inc", "b", ""]
+    e = spark.createDataFrame([(f"e{k}", x, "Legal_Party", k) for k, x in enumerate(names)], "id string, text string, type string, ordinal long")
+    words = sorted({"".join(rng.choice("abé ") for _ in range(rng.randint(1, 5))) for _ in range(80)} | {"", "zz", names[7] + "q"})
+    found = resolve.resolve(spark.createDataFrame([(w,) for w in words], "mention string"), e, spark.createDataFrame([], "alias string, canonical_id string"))
+    key = lambda x: " ".join(x.split())
+    first = lambda w: next((f"e{k}" for k, x in enumerate(names) if key(w) == key(x)), None) or next((f"e{k}" for k, x in enumerate(names) if key(w) in key(x)), None)
+    assert {r["mention"]: r["canonical_id"] for r in found.collect()} == {w: first(w) for w in words}
+    assert "Contains(" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_without_a_text_spread(spark):
+    """Ends that look for no text don't meet in one task under one empty key."""
+    edges = spark.range(2_000).select(F.col("id").cast("string"), F.lit("s").alias("source_id"), F.lit("").alias("source_text"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("target_id"), F.lit("").alias("target_text"))
+    e = spark.createDataFrame([("e1", "Acme", "Legal_Party", 0)], "id string, text string, type string, ordinal long")
+    own = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(own, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        out = resolve.resolve_edges(edges, e, resolve.party_aliases(e))
+        assert out.count() == 2_000 and max(r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 1_500
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 def test_clusters(spark):
     rows = [("1", "ABC", "T", 0.8, 0, [1.0, 0.0]), ("2", "abc ", "T", 0.9, 1, [1.0, 0.0]), ("3", "near", "T", 0.7, 2, [0.0, 1.0]), ("4", "close", "T", 0.95, 3, [0.01, 1.0]), ("5", "zero", "T", 0.5, 4, [0.0, 0.0]), ("6", "none", "T", 0.5, 5, None), ("7", "lone", "U", 0.5, 6, [1.0, 0.0])]
     e = spark.createDataFrame(rows, "id string, text string, type string, confidence double, ordinal long, embedding array<double>")
