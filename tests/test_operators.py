@@ -36,6 +36,16 @@ def test_section_headers(spark):
     assert one(spark, None, T.section_headers("t")) is None and one(spark, "", T.section_headers("t")) == []
 
 
+def test_section_headers_once(spark):
+    """Each header expression reads a text twice at most, however many headers there are; places are told without contents, too."""
+    df = spark.createDataFrame([("Section 1.2: A\nb\nArticle 3 C\n4. Dé\nNOTES:\nx",)], "t string")
+    got = df.select(T.section_headers("t").alias("h"), T.header_places("t").alias("p"))
+    row = got.first()
+    assert [(h["number"], h["title"], h["start"], h["end"]) for h in row["h"]] == list(map(tuple, row["p"])) == [("1.2", "A", 0, 14), ("3", "C", 17, 28), ("4", "Dé", 29, 34), (None, "NOTES", 34, 42)]
+    plan = df.select(T.section_headers("t").alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all(t#") <= len(T.HEADERS) and 0 < plan.count("split(t#") <= len(T.HEADERS)
+
+
 def test_embedding_text(spark):
     df = spark.createDataFrame([("Acme", "near", "Legal_Party", {"role": "buyer"}), ("x", None, "Right", {"role": "no"})], "text string, context string, type string, a map<string,string>")
     assert [r[0] for r in df.select(T.embedding_text("text", "context", "type", "a")).collect()] == ["Acme | near | Type: Legal_Party | Role: buyer", "x | Type: Right"]
