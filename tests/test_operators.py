@@ -249,6 +249,41 @@ def test_paths(spark):
     assert paths.pagerank(n, e, 3).count() == 3
 
 
+def test_mean_distance_like_a_loop(spark):
+    """All pairs of a graph in parts, with a hub and a long chain, as a plain search has them; the pairs are never rows of a job."""
+    import random
+    from collections import deque
+
+    rng = random.Random(2)
+    links = [(f"a{rng.randrange(150)}", f"a{rng.randrange(150)}") for _ in range(120)] + [("hub", f"a{k}") for k in range(0, 150, 9)] + [(f"c{k}", f"c{k + 1}") for k in range(90)]
+    own = [f"a{k}" for k in range(0, 150, 2)] + [f"c{k}" for k in range(0, 91, 3)] + ["alone"]
+    edges = spark.createDataFrame([(str(k), *e, "T") for k, e in enumerate(links)], "id string, source_id string, target_id string, type string")
+    nodes = spark.createDataFrame([(x,) for x in own], "id string")
+    near: dict = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def loop(most):
+        out = []
+        for s in own:
+            far, todo = {s: 0}, deque([s])
+            while todo:
+                x = todo.popleft()
+                for y in near.get(x, ()) if most is None or far[x] < most else ():
+                    if y not in far:
+                        far[y] = far[x] + 1
+                        todo.append(y)
+            out += [far[t] for t in own if s < t and t in far]
+        return len(out), int(sum(out) / len(out) * 10_000 + 0.5) / 10_000  # halves go up
+
+    for most in (None, 3):
+        df = paths.mean_distance(edges, nodes, most)
+        assert tuple(df.first()) == loop(most)
+        assert "distance" not in str(df._jdf.queryExecution().optimizedPlan().collectLeaves())  # not read from a table of pairs
+    assert tuple(paths.mean_distance(edges.limit(0), nodes).first()) == (0, None) and tuple(paths.mean_distance(edges.limit(0), nodes.limit(0)).first()) == (0, None)
+
+
 def test_long_paths(spark):
     """Paths of any length and type, also over nodes that aren't asked for."""
     e = spark.createDataFrame([(f"e{k}", f"n{k:02}", f"n{k + 1:02}", "T" if k % 2 else "U") for k in range(25)], "id string, source_id string, target_id string, type string")
