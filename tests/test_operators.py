@@ -304,6 +304,33 @@ def test_long_cycle(spark):
     assert checks.cycle_nodes(e.where("id like 'l%'")).count() == 0
 
 
+ODD_NODES = [("a", "A", "T", "LegalParty", 0.5), ("b", None, "T", "Odd", 1.5), ("c", "C", None, None, None), ("d", "D", "T", "Odd", 0.1), (None, "N", "T", "Odd", 0.1)]
+ODD_EDGES = [
+    ("1", "a", "b", "X", 0.5), ("2", "a", "b", "X", 0.9), ("3", "a", "b", None, 0.5), ("4", "a", "b", None, 0.4), ("4", "b", "a", "X", 0.4), ("5", "a", "gone", "X", 2.0), ("5", "a", "a", "X", 0.5),
+    ("6", "c", "c", "OBLIGATES", -1.0), ("7", "b", "a", "OBLIGATES", 0.5), ("8", "c", "a", "OBLIGATES", None), ("9", None, "a", "X", 0.5), ("10", "gone", "gone", "X", 0.5), ("11", "away", "gone", None, 0.5),
+]
+
+
+def odd_graph(spark):
+    return spark.createDataFrame(ODD_NODES, "id string, text string, type string, label string, confidence double"), spark.createDataFrame(ODD_EDGES, "id string, source_id string, target_id string, type string, confidence double")
+
+
+def passes(df, name):
+    """How often a plan reads what has so many rows that it can't be taken for another."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_dealt_by_size(spark, tmp_path):
+    """The tasks that a table is dealt over grow with it, so that a task's share doesn't."""
+    from loomgraph import adapter
+
+    path = str(tmp_path / "t")
+    spark.range(3_000_000).select(F.xxhash64("id").alias("k")).coalesce(1).write.parquet(path)
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    parts = adapter.dealt(spark.read.parquet(path), "k").rdd.getNumPartitions()
+    assert parts >= size / adapter.TASK_BYTES > 4
+
+
 def test_mutations(spark):
     n = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
     new, rejected = mutate.insert_nodes(n, spark.createDataFrame([("b", "z"), ("c", "z")], "id string, text string"))
