@@ -320,6 +320,13 @@ def passes(df, name):
     return df._jdf.queryExecution().optimizedPlan().toString().count(name)
 
 
+def test_edges_read_once(spark):
+    """Degrees and Turtle read the edges once, not once for each end or line."""
+    n, e = odd_graph(spark)
+    e = spark.range(7_777_777).select(*(F.col("id").cast("string").alias(c) for c in ("id", "source_id", "target_id", "type")), F.lit(0.5).alias("confidence"))
+    assert passes(stats.degrees(n, e), "Range (0, 7777777") == passes(export.turtle(n.withColumn("document_id", F.lit("d")), e), "Range (0, 7777777") == 1
+
+
 def test_dealt_by_size(spark, tmp_path):
     """The tasks that a table is dealt over grow with it, so that a task's share doesn't."""
     from loomgraph import adapter
