@@ -320,6 +320,29 @@ def passes(df, name):
     return df._jdf.queryExecution().optimizedPlan().toString().count(name)
 
 
+def test_summary_counts_the_checks_rows(spark):
+    """The summary's numbers are those of the checks' rows, on nulls, lost ends and odd types too, and on no rows."""
+    n, e = odd_graph(spark)
+    for nodes, edges in ((n, e), (n.limit(0), e), (n, e.limit(0)), (n.limit(0), e.limit(0))):
+        want = {k: (s, df.count()) for k, (s, df) in checks.all_checks(nodes, edges).items()}
+        assert {r["check"]: (r["severity"], r["issues"]) for r in checks.summary(nodes, edges).collect()} == want
+        assert all(r["passed"] == (r["issues"] == 0) for r in checks.summary(nodes, edges).collect())
+    big = spark.range(7_777_777).select(*(F.col("id").cast("string").alias(c) for c in ("id", "source_id", "target_id", "type")), F.lit(0.5).alias("confidence"))
+    assert passes(checks.summary(n, big.where("source_id < '1'")), "Range (0, 7777777") <= 3
+
+
+def test_repair_report_counts_what_repair_removes(spark):
+    """Ids that name several edges, null types and lost ends: the report counts what the repaired graph lacks."""
+    n, e = odd_graph(spark)
+    for nodes, edges in ((n, e), (n.limit(0), e), (n, e.limit(0))):
+        lost, (kept_nodes, kept) = checks.dangling(nodes, edges), checks.repair(nodes, edges)
+        good = edges.join(lost, "id", "left_anti")
+        want = (nodes.count() - kept_nodes.count(), lost.count(), checks.self_loops(good).count(), good.where("source_id <> target_id").join(kept.select("id"), "id", "left_anti").count())
+        assert tuple(checks.repair_report(nodes, edges).first()) == want
+    few = spark.range(7_777_777).select(*(F.col("id").cast("string").alias(c) for c in ("id", "source_id", "target_id", "type")), F.lit(0.5).alias("confidence")).where("source_id < '1'")
+    assert passes(checks.repair_report(n, few), "Range (0, 7777777") <= 1
+
+
 def test_edges_read_once(spark):
     """Degrees and Turtle read the edges once, not once for each end or line."""
     n, e = odd_graph(spark)
