@@ -350,6 +350,14 @@ def test_edges_read_once(spark):
     assert passes(stats.degrees(n, e), "Range (0, 7777777") == passes(export.turtle(n.withColumn("document_id", F.lit("d")), e), "Range (0, 7777777") == 1
 
 
+def test_pagerank_reads_nodes_once(spark):
+    """The rounds' plans read the ids from where they were put, not each from the nodes' own plan."""
+    n = spark.range(2_222_222).where("id < 3").select(F.col("id").cast("string").alias("id"))
+    e = spark.createDataFrame([("0", "1"), ("1", "2")], "source_id string, target_id string")
+    ranks = paths.pagerank(n, e, 5)
+    assert ranks.count() == 3 and passes(ranks, "Range (0, 2222222") == 0
+
+
 def test_dealt_by_size(spark, tmp_path):
     """The tasks that a table is dealt over grow with it, so that a task's share doesn't."""
     from loomgraph import adapter
